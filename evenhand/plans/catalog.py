@@ -1,0 +1,3 @@
+"""Registered queries."""
+QUERIES = {}
+ORACLES = {}
