@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import ann as _ann
+from . import bpe as _bpe
 from . import fingerprints as _fingerprints
 from . import mixing as _mixing
 from . import url_filter as _url_filter
@@ -25,7 +28,23 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_url_filter, op8_fingerprints)}
+def word_vocabulary() -> str:
+    """The vocabulary file of the registered queries, where its package is installed."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = _bpe.encode_decode(read(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary())
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ann.search(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op6_url_filter, op8_fingerprints, op9_bpe, op10_nearest)}
 
 ORACLES = {
     "op3_mixing": r"""
