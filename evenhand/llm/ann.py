@@ -138,7 +138,7 @@ def search(rows: DataFrame, ident: str = "vec_id", vector: str = "embedding", ev
                 near[ids == own] = -np.inf
                 top = _best(near, rerank)
                 top = top[ids[top] != own]
-                score = x[top] @ q[i]
+                score = (x[top] * q[i]).sum(1)  # row by row alike, so equal vectors tie
                 order = np.lexsort((ids[top], -score))[: 2 * k]
                 out.append(pd.DataFrame({"query_id": own, "vec_id": ids[top][order], "score": score[order]}))
         return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})

@@ -9,6 +9,7 @@ from . import ann as _ann
 from . import bpe as _bpe
 from . import fingerprints as _fingerprints
 from . import mixing as _mixing
+from . import toxicity as _toxicity
 from . import url_filter as _url_filter
 from .common import read
 
@@ -20,6 +21,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = _toxicity.score(docs, _toxicity.fit(docs, read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", _toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url_filter.judge(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -44,7 +51,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann.search(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op6_url_filter, op8_fingerprints, op9_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_toxicity, op6_url_filter, op8_fingerprints, op9_bpe, op10_nearest)}
 
 ORACLES = {
     "op3_mixing": r"""
