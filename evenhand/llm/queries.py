@@ -9,6 +9,7 @@ from . import ann as _ann
 from . import bpe as _bpe
 from . import fingerprints as _fingerprints
 from . import mixing as _mixing
+from . import near_dedup as _near_dedup
 from . import toxicity as _toxicity
 from . import url_filter as _url_filter
 from .common import read
@@ -31,6 +32,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url_filter.judge(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_dedup.near_duplicates(read(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann.search(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_toxicity, op6_url_filter, op8_fingerprints, op9_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_toxicity, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest)}
 
 ORACLES = {
     "op3_mixing": r"""
