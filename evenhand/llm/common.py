@@ -35,12 +35,14 @@ def scratch_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    What follows depends on files only, so a lost executor costs the tasks it ran and not the whole history.
+    What follows depends on files only, so a lost executor costs the tasks it ran and not the whole history. The shuffle
+    files behind it are no longer needed; a collection lets Spark's cleaner remove them.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import ann as _ann
 from . import bpe as _bpe
 from . import fingerprints as _fingerprints
+from . import line_dedup as _line_dedup
 from . import mixing as _mixing
 from . import near_dedup as _near_dedup
 from . import toxicity as _toxicity
@@ -18,6 +19,11 @@ from .common import read
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -56,7 +62,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann.search(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_toxicity, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_mixing, op4_toxicity, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest)}
 
 ORACLES = {
     "op3_mixing": r"""
