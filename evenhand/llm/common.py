@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 import atexit
-import shutil
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..workers import ship
+
 #: Words are maximal runs of anything but these six ASCII blanks.
 BLANKS = r"\x20\x09-\x0D"
 WORD = f"[^{BLANKS}]+"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_shipped: set[str] = set()
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -80,17 +78,7 @@ def python_ready(spark: SparkSession, rows: int = 512) -> None:
 
     Long texts make large Arrow batches at the default of 10,000 rows.
     """
-    context = spark.sparkContext
-    if context.applicationId not in _shipped:
-        top = Path(__file__).parents[1]
-        folder = tempfile.mkdtemp(prefix="evenhand-")  # Spark's file server reads it as long as the session lives
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        name = f"{folder}/{top.name}.zip"
-        with zipfile.ZipFile(name, "w") as z:
-            for p in sorted(top.rglob("*.py")):
-                z.write(p, p.relative_to(top.parent))
-        context.addPyFile(name)
-        _shipped.add(context.applicationId)
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
