@@ -11,6 +11,7 @@ from . import fingerprints as _fingerprints
 from . import line_dedup as _line_dedup
 from . import mixing as _mixing
 from . import near_dedup as _near_dedup
+from . import suffix_dedup as _suffix_dedup
 from . import toxicity as _toxicity
 from . import url_filter as _url_filter
 from .common import read
@@ -19,6 +20,11 @@ from .common import read
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = _suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = _line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -62,7 +68,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann.search(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_mixing, op4_toxicity, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_toxicity, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest)}
 
 ORACLES = {
     "op3_mixing": r"""
