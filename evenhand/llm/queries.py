@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import ann as _ann
 from . import bpe as _bpe
 from . import fingerprints as _fingerprints
+from . import licenses as _licenses
 from . import line_dedup as _line_dedup
 from . import mixing as _mixing
 from . import near_dedup as _near_dedup
@@ -40,6 +41,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _toxicity.held_out().alias("held_out"), "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: a source and a language make a directory."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+    return _licenses.licences(docs).select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "how", "source_dir")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _url_filter.judge(read(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
 
@@ -68,7 +75,7 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann.search(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_toxicity, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_toxicity, op5_licenses, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest)}
 
 ORACLES = {
     "op3_mixing": r"""

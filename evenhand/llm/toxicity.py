@@ -17,11 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import python_ready
+from .common import pieces, python_ready
 
 #: The model is fitted on at most so many labelled rows, those with the least hash of their id, ...
 FIT_ROWS = 20_000
@@ -188,10 +189,14 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most FIT_TOKENS tokens
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("passages", PASSAGES)])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("e", pa.float64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for f in frames:
-            found = [m.passages(tokens(t)) for t in f[text]]
-            yield f.assign(score=[m.probability(*x) for x in found], passages=[[dict(zip(("start", "end", "score", "e"), p, strict=True)) for p in x[1]] for x in found])
+        for batch in batches:
+            for some in pieces(batch, text):
+                found = [m.passages(tokens(t)) for t in some.column(some.schema.get_field_index(text)).to_pylist()]
+                spans = [[dict(zip(("start", "end", "score", "e"), p, strict=True)) for p in x[1]] for x in found]
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([m.probability(*x) for x in found], pa.float64()), pa.array(spans, kind)], names=[*some.schema.names, "score", "passages"])
 
-    return docs.mapInPandas(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
