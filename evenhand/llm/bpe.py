@@ -19,12 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import python_ready
+from .common import pieces, python_ready
 
 #: The word pattern of the vocabulary, and what counts as blank to it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 BLANKS = "".join(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
-#: Known chunks a worker keeps, twice; longer ones it does not keep.
+#: Chunks and words a worker knows at a time; longer ones it does not keep.
 KEPT, KEPT_LENGTH = 300_000, 80
 
 _WORDS = regex.compile(PATTERN.replace(r"\s", BLANKS))
@@ -61,7 +61,7 @@ class WordBpe:
         self.joined = np.array([vocab[a + b] for a, b in pairs], np.int64)[order]
         self.split = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
+        self.words: dict[str, list[int]] = {}
 
     def merge(self, words: list[str]) -> list[list[int]]:
         """Ids of each non-empty word."""
@@ -115,20 +115,22 @@ class WordBpe:
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         chunks = [(_BLANK.split(t) if _ODD.search(t) else t.split()) if t else [] for t in texts]
-        if len(self.known) > KEPT:  # what has been met since the last time stays
-            self.known, self.older = {}, self.known
-        if self.older:
-            self.known |= {x: self.older[x] for x in set(chain.from_iterable(chunks)).difference(self.known).intersection(self.older)}
+        for kept in (self.known, self.words):
+            if len(kept) > KEPT:
+                kept.clear()
         new = list(set(chain.from_iterable(chunks)).difference(self.known))
         parts = [self._words(x) for x in new]
-        words = list({w for p in parts for w in p if isinstance(w, str)})
-        ids = dict(zip(words, self.merge(words), strict=True)) if words else {}
-        coded = {x: [i for w in p for i in (ids[w] if isinstance(w, str) else (w,))] for x, p in zip(new, parts, strict=True)}
-        self.known |= coded
-        out = [list(chain.from_iterable(map(self.known.__getitem__, c))) for c in chunks]
-        for x in coded:
-            if len(x) > KEPT_LENGTH:
-                del self.known[x]
+        fresh = list({w for p in parts for w in p if isinstance(w, str)}.difference(self.words))
+        if fresh:
+            self.words.update(zip(fresh, self.merge(fresh), strict=True))
+        ids = self.words
+        self.known.update(zip(new, [ids[p[0]] if len(p) == 1 and p[0] in ids else [i for w in p for i in (ids[w] if isinstance(w, str) else (w,))] for p in parts], strict=True))
+        get = self.known.__getitem__
+        out = [list(chain.from_iterable(map(get, c))) for c in chunks]
+        for kept, used in ((self.known, new), (self.words, fresh)):
+            for x in used:
+                if len(x) > KEPT_LENGTH:
+                    del kept[x]
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -156,8 +158,7 @@ def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
+            for some in pieces(batch, text):
                 ids = bpe.encode(some.column(some.schema.get_field_index(text)).to_pylist())
                 sizes = np.cumsum([0, *map(len, ids)])
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes[-1]))
