@@ -26,8 +26,10 @@ from .components import connected_components
 TREES, DEPTH, LEAST_DEPTH = 21, 6, 3
 #: Following neighbours in an order that a class is compared with; the rest of a region comes in the second round.
 WINDOW = 4
-#: Members of a dense region that meet in one task, and the estimate below which no pair of similarity 0.8 lies (by 7 deviations).
-BLOCK, LEAST_ESTIMATE = 256, 0.55
+#: Rounds in which each class tries its likeliest partner only.
+LIKELIEST_ROUNDS = 3
+#: Members of a dense region that meet in one task, and the estimate below which a pair of similarity 0.8 doesn't fall (by 4 deviations).
+BLOCK, LEAST_ESTIMATE = 256, 0.65
 
 _ODD = np.random.default_rng(20_240_601).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = np.random.default_rng(20_240_602).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -135,15 +137,15 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _across(frame):
-    """Pairs of a block whose components differ and whose signatures don't rule out the similarity."""
+def _across(key, frame):
+    """Pairs of two blocks, or of one, whose components differ and whose signatures don't rule out the similarity."""
     import pandas as pd
 
     a, b = [], []
     sig = np.frombuffer(b"".join(frame.sig), ">u4").reshape(len(frame), -1) if len(frame) else None
-    node, comp = frame.node.to_numpy(), frame.comp.to_numpy()
+    node, comp, home = frame.node.to_numpy(), frame.comp.to_numpy(), frame.home.to_numpy()
     for i in range(len(frame) - 1):
-        j = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((key[2] == key[3]) | (home[i + 1 :] != home[i]))) + i + 1
         j = j[(sig[j] == sig[i]).mean(1) >= LEAST_ESTIMATE]
         a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
     return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
@@ -157,6 +159,20 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return both.mapInArrow(_confirm(k, percent), "u long, v long")
 
 
+def _likeliest(pairs: DataFrame) -> DataFrame:
+    """Of (a, b, n) each class's pair with the largest n, then the smallest partner."""
+    either = pairs.select("a", "b", "n").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    best = either.groupBy("a").agg(F.max(F.struct(F.col("n"), (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
+    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose components differ; a class without links is one of its own."""
+    held = lambda to: comps.select(F.col("node").alias(f"_{to}"), F.col("component").alias(to))
+    both = pairs.join(held("ca"), F.col("a") == F.col("_ca"), "left").join(held("cb"), F.col("b") == F.col("_cb"), "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "n")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, n_shingles, component_id, kept: one row a document.
 
@@ -187,16 +203,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = reps.join(asked, F.col("node") == F.col("_n"), "left_semi")
     texts = cut(own.join(reps, F.col("doc_id") == F.col("node")).groupBy("node").agg(F.min("text").alias("text")), "texts")
 
-    # first each class's likeliest partner, then whatever still joins different components
-    either = pairs.select("a", "b", "n").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    likeliest = either.groupBy("a").agg(F.max(F.struct(F.col("n"), (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-    likeliest = cut(likeliest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likeliest")
-    links = cut(_links(likeliest, texts, k, percent), "links-1")
-    comps = cut(connected_components(links), "components-1")
+    # round by round each class's likeliest partner outside its component, then whatever still joins different ones:
+    # a large group of copies is one component long before all of its pairs have been compared
+    links, comps, apart = None, None, pairs
+    for i in range(LIKELIEST_ROUNDS + 1):
+        chosen = cut(_likeliest(apart) if i < LIKELIEST_ROUNDS else apart.select("a", "b"), "chosen")
+        new = cut(_links(chosen, texts, k, percent), "links")
+        links = new if links is None else links.union(new)
+        comps = cut(connected_components(links), "components")
+        tried = chosen.select(F.col("a").alias("_x"), F.col("b").alias("_y"))
+        apart = cut(_apart(apart.join(tried, (F.col("a") == F.col("_x")) & (F.col("b") == F.col("_y")), "left_anti"), comps), "apart")
+        if apart.isEmpty():
+            break
     held = lambda to: comps.select(F.col("node").alias(f"_{to}"), F.col("component").alias(to))
-    rest = pairs.select("a", "b").join(likeliest.select(F.col("a").alias("_x"), F.col("b").alias("_y")), (F.col("a") == F.col("_x")) & (F.col("b") == F.col("_y")), "left_anti")
-    rest = rest.join(held("ca"), F.col("a") == F.col("_ca"), "left").join(held("cb"), F.col("b") == F.col("_cb"), "left")
-    rest = rest.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
     likely = classes.join(asked, F.col("node") == F.col("_n"), "left_semi")
     regions = likely.select("node", "sig", F.posexplode(F.array(*[F.xxhash64(F.substring(part(t), 1, 4 * LEAST_DEPTH)) for t in range(TREES)])).alias("tree", "stem"))
@@ -207,8 +226,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     dense = dense.join(mixed, (F.col("tree") == F.col("_t")) & (F.col("stem") == F.col("_s")), "left_semi").join(classes.select(F.col("node").alias("_n"), "sig"), F.col("node") == F.col("_n"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dense = dense.withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dense = dense.select("tree", "stem", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "comp", "sig")
-    rest = cut(rest.union(dense.groupBy("tree", "stem", "i", "j").applyInPandas(_across, "a long, b long")).distinct(), "rest")
+    dense = dense.select("tree", "stem", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "comp", "sig", F.col("i").alias("home"))
+    rest = cut(dense.groupBy("tree", "stem", "i", "j").applyInPandas(_across, "a long, b long").distinct(), "rest")
     links = links.union(cut(_links(rest, texts, k, percent), "links-2"))
 
     comps = connected_components(links)
