@@ -59,8 +59,8 @@ def leaderboard(cells: DataFrame) -> DataFrame:
     ranges = F.broadcast(cells.sparkSession.createDataFrame(SCORE_RANGE, "domain string, score_range double"))
     part = 1 - (F.col("cfr") + F.when(F.col("masd").isNotNull(), F.least(F.lit(1.0), F.col("masd") / F.coalesce("score_range", F.lit(100.0)))) + F.col("disparity")) / 3
     mean = lambda c: F.round(F.avg(c), 4)
-    rows = cells.join(ranges, "domain", "left").groupBy("model").agg(mean(part).alias("afb_score"), mean("cfr").alias("mean_cfr"), mean("masd").alias("mean_masd"), mean("disparity").alias("mean_rate_disparity"), F.count(F.lit(1)).alias("n_cells"))
-    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("afb_score"), "model")))  # a row a model
+    rows = cells.join(ranges, "domain", "left").groupBy("model").agg(mean(part).alias("composite_score"), mean("cfr").alias("mean_cfr"), mean("masd").alias("mean_masd"), mean("disparity").alias("mean_rate_disparity"), F.count(F.lit(1)).alias("n_cells"))
+    return rows.withColumn("position", F.row_number().over(Window.orderBy(F.desc_nulls_last("composite_score"), "model")))  # a row a model
 
 
 def ladder(cells: DataFrame) -> DataFrame:

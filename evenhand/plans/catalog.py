@@ -235,7 +235,7 @@ def scaffold_ladder(s, d):
 
 
 @query
-def afb_leaderboard(s, d):
+def leaderboard(s, d):
     return replay.leaderboard(_cells(s, d))
 
 

@@ -80,7 +80,7 @@ def test_workflow_blobs_pools_and_reports(spark, tmp_path):
     cell = {"model": "m", "domain": "hiring", "scaffold": "C0", "CFR": {"CFR": 0.1}, "MASD": {"MASD": 10}, "rate_disparity": {"disparity": 0.2}}
     (tmp_path / "x_report.json").write_text(json.dumps({"n_records": 6, "cells": {"k": cell}}))
     board = report.board(files.reports(spark, f"{tmp_path}/*_report.json"))
-    assert board.first().afb_score == pytest.approx(0.8667) and "<td>m</td>" in report.board_html(board)
+    assert board.first().composite_score == pytest.approx(0.8667) and "<td>m</td>" in report.board_html(board)
 
 
 def test_names_by_seed_are_in_their_pools(spark):

@@ -137,5 +137,5 @@ def test_published_cost_and_composite(spark):
     plan = spark.createDataFrame([(m, s, 216) for m in ("claude-haiku-4-5", "claude-sonnet-4-6", "claude-opus-4-8") for s in ("C0", "C2", "C3")], "model string, scaffold string, n_calls long")
     assert {r.model: r.est_usd for r in replay.cost(plan).collect()} == {"claude-haiku-4-5": 1.3824, "claude-sonnet-4-6": 4.1472, "claude-opus-4-8": 6.912}
     cells = spark.createDataFrame([("m", "hiring", 0.1, 10.0, 0.2), ("m", "triage", 0.0, 8.0, None), ("n", "triage", None, 1.0, 0.0)], "model string, domain string, cfr double, masd double, disparity double")
-    got = {r.model: (r.afb_score, r.position) for r in replay.leaderboard(cells).collect()}
+    got = {r.model: (r.composite_score, r.position) for r in replay.leaderboard(cells).collect()}
     assert got == {"m": (0.8667, 1), "n": (None, 2)}
