@@ -9,7 +9,6 @@ different segments isn't gathered: its windows are counted by their digests inst
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

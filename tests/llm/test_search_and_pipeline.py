@@ -1,7 +1,6 @@
 import math
 
 import numpy as np
-from compare import _plain  # noqa: F401
 
 import corpus_pipeline
 from evenhand.llm import ann, queries
