@@ -116,3 +116,17 @@ def test_null_ids_and_empty_tables(docs_of):
     assert line_dedup.dedup_lines(docs_of([])).count() == 0
 
 
+
+
+def test_simhash_bits_are_majorities(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(7)
+    lines = [" ".join(rng.choice(["same", "word", "w" + str(rng.randrange(99))]) for _ in range(n)) for n in (3, 127, 128, 300, 1000)] + ["same " * 999 + "same"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "h long, norm string")
+    got = {r.h: r.blocks for r in line_dedup.with_simhash(table).collect()}
+    words = table.select("h", F.explode(F.split("norm", " ")).alias("w")).select("h", F.xxhash64("w", F.lit(0)).alias("a"), F.xxhash64("w", F.lit(1)).alias("b")).collect()
+    for h, blocks in got.items():
+        mine = [r for r in words if r.h == h]
+        bits = [int(2 * sum((getattr(r, q) >> (8 * i + j)) & 1 for r in mine) > len(mine)) for q in "ab" for i in range(8) for j in range(8)]
+        assert blocks == [sum(b << k for k, b in enumerate(bits[i::4])) for i in range(4)]
