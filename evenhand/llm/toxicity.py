@@ -70,7 +70,7 @@ class Model:
     weights: dict[str, float]
     rate: float = 1.0
     ln_k: float = 0.0
-    logistic: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    logistic: tuple[float, float, float] = (-5.0, 0.0, 0.0)
 
     def passages(self, found: list[str]) -> tuple[float, list[tuple[int, int, float, float]]]:
         """Best normalised score, and (start, end, score, E) of each significant passage, in tokens."""
@@ -126,7 +126,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """From the labelled rows that are not held out. Without labels of both kinds the model gives every text the same score."""
+    """From the labelled rows that are not held out. Without labels of both kinds every text has the same low score and is clean."""
     spark = docs.sparkSession
     python_ready(spark)
     marks = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_y")).where("_id is not null and _y in (0, 1)").where(~held_out("_id"))
