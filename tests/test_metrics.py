@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evenhand.functions import stats
 from evenhand.operators import anova, disparity, matched, replay, resample, tests
+from evenhand.plans import catalog
 from evenhand.schema import DECISION, REFERENCE
 
 OTHER = "black_female"
@@ -133,6 +134,12 @@ def test_two_way_layout(spark):
     assert math.isnan(anova.two_way(flat).first().f_group)
 
 
+def test_registered_null_has_all_the_draws_of_the_reference(spark, sf_dir):
+    rows = catalog.QUERIES["arity_null"](spark, sf_dir).collect()
+    of = lambda n: [abs(r.p_arity * n - round(r.p_arity * n)) < 1e-6 for r in rows]
+    assert rows and all(of(20_000)) and not all(of(2_000))
+
+
 def test_published_cost_and_composite(spark):
     plan = spark.createDataFrame([(m, s, 216) for m in ("claude-haiku-4-5", "claude-sonnet-4-6", "claude-opus-4-8") for s in ("C0", "C2", "C3")], "model string, scaffold string, n_calls long")
     assert {r.model: r.est_usd for r in replay.cost(plan).collect()} == {"claude-haiku-4-5": 1.3824, "claude-sonnet-4-6": 4.1472, "claude-opus-4-8": 6.912}
