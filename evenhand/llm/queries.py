@@ -27,7 +27,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left = _line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    left = _line_dedup.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

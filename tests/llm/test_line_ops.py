@@ -130,3 +130,20 @@ def test_simhash_bits_are_majorities(spark):
         mine = [r for r in words if r.h == h]
         bits = [int(2 * sum((getattr(r, q) >> (8 * i + j)) & 1 for r in mine) > len(mine)) for q in "ab" for i in range(8) for j in range(8)]
         assert blocks == [sum(b << k for k, b in enumerate(bits[i::4])) for i in range(4)]
+
+
+def test_whole_compares_lines_that_differ_in_a_word(docs_of, by_id):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    pairs = []
+    for n in (5, 10, 20, 40):
+        for _ in range(25):
+            line = [word() for _ in range(n)]
+            other = list(line)
+            for i in rng.sample(range(n), max(1, n // 10)):
+                other[i] = word()
+            pairs.append((n, " ".join(line), " ".join(other)))
+    assert all(distance(a, b) <= 0.2 * len(a) for _, a, b in pairs)
+    got = by_id(line_dedup.dedup_lines(docs_of([(i, t) for i, t in enumerate(x for _, *both in pairs for x in both)]), whole=True))
+    found = Counter(n for i, (n, *_) in enumerate(pairs) if got[2 * i].n_dropped == 0 and got[2 * i + 1].n_dropped == 1)
+    assert found[5] == 25 and all(found[n] >= 24 for n in (10, 20, 40))
