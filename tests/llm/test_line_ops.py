@@ -147,3 +147,10 @@ def test_whole_compares_lines_that_differ_in_a_word(docs_of, by_id):
     got = by_id(line_dedup.dedup_lines(docs_of([(i, t) for i, t in enumerate(x for _, *both in pairs for x in both)]), whole=True))
     found = Counter(n for i, (n, *_) in enumerate(pairs) if got[2 * i].n_dropped == 0 and got[2 * i + 1].n_dropped == 1)
     assert found[5] == 25 and all(found[n] >= 24 for n in (10, 20, 40))
+
+
+def test_whole_drops_copies_of_short_lines_and_lines_without_blanks(docs_of, by_id):
+    plain, spaced = "\u4eca\u65e5\u306f\u826f\u3044\u5929\u6c17\u3067\u3059\u306d\u3001\u6563\u6b69\u306b\u884c\u304d\u307e\u3057\u3087\u3046\u304b", "eins\u00a0zwei\u3000drei"
+    texts = {1: f"Ietzte.\ntwo words\n{plain}\n{spaced}\n\u00a0", 2: f"two words\nietzte\n{plain}\n{spaced}\n\u00a0", 3: "two words\nown line", 4: plain[:-1] + "\u306d"}
+    got = by_id(line_dedup.dedup_lines(docs_of(texts.items()), whole=True))
+    assert [got[i].text for i in (1, 2, 3, 4)] == [texts[1], "\u00a0", "own line", ""]
