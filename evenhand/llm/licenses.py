@@ -18,7 +18,7 @@ from .common import pieces, python_ready
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software, to deal in the Software without restriction. MIT License."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License, version 3."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and modify it under the terms of the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
 }
 #: Least cosine of a notice, and the share of a file's words that makes it a licence file whatever its name.
@@ -44,6 +44,7 @@ class Matcher:
             norm = math.sqrt(sum((n * self.idf[w]) ** 2 for w, n in c.items()))
             for w, n in c.items():
                 self.postings.setdefault(w, []).append((i, n * self.idf[w] / norm))
+        self.sizes, self.words = sorted({sum(c.values()) for _, c in flat}), self.telling()
         self.most = 3 * max((sum(c.values()) for _, c in flat), default=0)
 
     def best(self, line: str) -> tuple[float, str] | None:
@@ -61,30 +62,45 @@ class Matcher:
         cosine, i = max((d / norm, -i) for i, d in dots.items())
         return min(1.0, cosine), self.names[-i]
 
-    def units(self, line: str) -> Iterator[str]:
-        """A line; of one that is longer than any notice its sentences, and of a longer sentence overlapping runs of words."""
-        if line.count(" ") < self.most:
-            yield line
-            return
-        for sentence in _SENTENCE.split(line):
-            words = sentence.split()
-            if len(words) <= self.most:
-                yield sentence
-            else:
-                step = max(1, self.most // 6)
-                for i in range(0, len(words), step):
-                    yield " ".join(words[i : i + 2 * step])
+    def telling(self) -> set[str]:
+        """Tokens of which every unit near a template has one: the others together keep below the least cosine."""
+        rest: dict[int, float] = {}
+        telling = set(self.postings)
+        for w in sorted(self.postings, key=lambda w: (len(w), w)):
+            more = {i: rest.get(i, 0.0) + v * v for i, v in self.postings[w]}
+            if all(x < (LEAST_COSINE - 1e-6) ** 2 for x in more.values()):
+                rest |= more
+                telling.discard(w)
+        return telling
+
+    def units(self, text: str) -> Iterator[tuple[int, str]]:
+        """(start, unit): lines, sentences across line ends, and runs as long as each template about every telling token."""
+        at = 0
+        for line in text.split("\n"):
+            yield at, line
+            at += len(line) + 1
+        at = 0
+        for gap in _SENTENCE.finditer(text):
+            yield at, text[at : gap.start()]
+            at = gap.end()
+        yield at, text[at:]
+        spans, low = zip(*[(m.span(), m[0]) for m in _TOKEN.finditer(text)], strict=True)
+        hits = [i for i, w in enumerate(low) if w in self.words]
+        for n in self.sizes:
+            for i in sorted({j for h in hits for j in range(max(0, h - n + 1), min(h, len(low) - n) + 1)}):
+                yield spans[i][0], " ".join(low[i : i + n])
 
     def scan(self, text: str | None) -> dict | None:
         """The likeliest notice of a text; the first of equal ones."""
-        found = None
-        for at, line in enumerate((text or "").split("\n")):
-            for unit in self.units(line):
-                got = self.best(unit)
-                if got and got[0] >= LEAST_COSINE and (found is None or got[0] > found["cosine"]):
-                    found = {"licence": got[1], "cosine": round(got[0], 9), "line": at, "words": len(_TOKEN.findall(unit.lower()))}
+        found, text = None, (text or "").lower()  # once, as some letters change their length
+        if self.words.isdisjoint(_TOKEN.findall(text)):
+            return None
+        for at, unit in self.units(text):
+            got = self.best(unit)
+            if got and got[0] >= LEAST_COSINE and (found is None or got[0] > found["cosine"] + 1e-9):
+                found = {"licence": got[1], "cosine": round(got[0], 9), "line": text.count("\n", 0, at), "words": len(_TOKEN.findall(unit))}
         if found:
-            found["share"] = found.pop("words") / max(1, len(_TOKEN.findall(text.lower())))
+            found["share"] = found.pop("words") / max(1, len(_TOKEN.findall(text)))
         return found
 
 

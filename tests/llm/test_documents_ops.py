@@ -215,3 +215,17 @@ def test_cosine_against_dense_vectors():
             dot = sum(words[x] * other[x] * w[x] ** 2 for x in w)
             best = max(best, dot / math.sqrt(sum((words[x] * w[x]) ** 2 for x in w) * sum((other[x] * w[x]) ** 2 for x in w)))
     assert m.best(line)[0] == pytest.approx(best) and m.best(line)[1] == "Apache-2.0"
+
+
+def test_notices_that_share_a_line_or_are_wrapped():
+    matcher = licenses.Matcher(licenses.TEMPLATES)
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    for text, want, line in (
+        ("Copyright (c) 2024 Jane Doe. Released under the MIT License.", "MIT", 0),
+        ("Some data. Licensed under CC BY-NC 4.0. Ask us first.", "CC-BY-NC-4.0", 0),
+        (f"#!/bin/sh\n{gpl}\necho many more words", "GPL-3.0", 1),
+        ("// all of it is licensed under the\n// Apache License, Version 2.0 and so on", "Apache-2.0", 0),
+    ):
+        found = matcher.scan(text)
+        assert found and (found["licence"], found["line"]) == (want, line)
+    assert matcher.scan("this file is the one to use in any case") is None and matcher.scan(None) is None
