@@ -24,11 +24,15 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a temporary one only where it names none."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share, as the cluster names it.
+
+    Only a session that runs in one process may go without: it gets a temporary one. On a cluster that would be a
+    different folder on each machine, so there it is an error.
+    """
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="evenhand-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -48,14 +52,26 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``cut`` has written, or that read such ones only, once nothing needs them."""
+    for table in tables:
+        folders = {f.rsplit("/", 1)[0].split(":", 1)[-1].replace("//", "") for f in table.inputFiles()}
+        for spark, path in [w for w in _written if w[1].split(":", 1)[-1].replace("//", "") in folders]:
+            _written.remove((spark, path))
+            _delete(spark, path)
+
+
 def drop_scratch() -> None:
     """Removes what ``cut`` has written in this process, while its session lives."""
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
         except Exception:  # the session has ended; nothing can be reached any more
             return
 
