@@ -43,18 +43,27 @@ def norm_ppf(p: Column) -> Column:
     return F.when(p <= 0, F.lit(-math.inf)).when(p >= 1, F.lit(math.inf)).when(p < PPF_LOW, low).when(p > 1 - PPF_LOW, high).otherwise(middle)
 
 
+#: Discordant pairs up to which binomial terms are summed as they are: their largest sum still is a double.
+EXACT_PAIRS = 1000
+
+
 def mcnemar_p(b: Column, c: Column) -> Column:
-    """Exact two-sided p of discordant counts; the binomial terms are summed from their logarithms, so large counts don't overflow."""
-    n, k = (b + c).cast("double"), F.least(b, c)
-    first = -n * math.log(2)
-    acc = F.struct(first.alias("t"), F.exp(first).alias("s"))
+    """Exact two-sided p of discordant counts.
+
+    Up to EXACT_PAIRS the terms are built from 1 by their ratios and scaled once, so small counts are exact; beyond,
+    the same tail is an incomplete beta function, so no row holds as many terms as there are pairs.
+    """
+    n, k = b + c, F.least(b, c)
+    acc = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
 
     def step(s: Column, i: Column) -> Column:
-        t = s["t"] + F.log((n - i + 1) / i)
-        return F.struct(t.alias("t"), (s["s"] + F.exp(t)).alias("s"))
+        t = s["t"] * (n - i + 1) / i
+        return F.struct(t.alias("t"), (s["s"] + t).alias("s"))
 
-    some = F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(b + c == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(some, acc, step)["s"]))
+    some = F.when((k > 0) & (n <= EXACT_PAIRS), F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    exact = F.aggregate(some, acc, step)["s"] * F.pow(F.lit(2.0), 1 - n.cast("double"))
+    tail = F.when(n <= EXACT_PAIRS, exact).otherwise(2 * half_tail(n.cast("double"), k.cast("double")))
+    return F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), tail))
 
 
 def clamp(x: Column, low: float, high: float) -> Column:
@@ -86,3 +95,9 @@ def beta_share(a: float, b: float, x: float) -> float:
 def f_survival(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     """P(F > f) of each row; a row a cell, so the volume is small."""
     return pd.Series([math.nan if not f0 >= 0 else beta_share(n / 2, m / 2, n / (n + m * f0)) for f0, n, m in zip(f, d2, d1, strict=True)])
+
+
+@F.pandas_udf(DoubleType())
+def half_tail(n: pd.Series, k: pd.Series) -> pd.Series:
+    """P(X <= k) of n fair draws, for n over EXACT_PAIRS."""
+    return pd.Series([beta_share(m - i, i + 1, 0.5) if m > EXACT_PAIRS else math.nan for m, i in zip(n, k, strict=True)])

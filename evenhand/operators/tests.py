@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..schema import CELL, LEVEL
+from ..workers import ship
 
 KEY = [*CELL, "group"]
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """Discordant counts b (reference only) and c (group only) and their exact p; no discordant pair gives p = 1."""
+    ship(pairs.sparkSession)
     counts = pairs.groupBy(*KEY).agg(F.count_if(F.expr("ref_action and not action")).alias("b"), F.count_if(F.expr("not ref_action and action")).alias("c"))
     return counts.withColumn("discordant", F.col("b") + F.col("c")).withColumn("p", stats.mcnemar_p(F.col("b"), F.col("c")))
 

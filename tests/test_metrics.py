@@ -55,6 +55,23 @@ def test_rate_gaps_have_opposite_signs(spark):
     assert disparity.gaps(action.where(F.col("group") == OTHER), 1).count() == 0
 
 
+def test_mcnemar_is_exact_for_small_counts(spark):
+    pairs = [(b, c) for b in range(51) for c in range(51)]
+    got = spark.createDataFrame(pairs, "b long, c long").select("b", "c", stats.mcnemar_p(F.col("b"), F.col("c")).alias("p")).collect()
+    for r in got:
+        n = r.b + r.c
+        want = 1.0 if n == 0 else min(1.0, 2 * sum(math.comb(n, i) for i in range(min(r.b, r.c) + 1)) / 2**n)
+        assert r.p == pytest.approx(want, rel=1e-14)
+    assert next(r.p for r in got if (r.b, r.c) == (1, 8)) == 0.0390625
+
+
+def test_mcnemar_of_many_pairs_needs_no_long_arrays(spark):
+    b, c = 5_000_000, 5_006_000
+    p = spark.range(1).select(stats.mcnemar_p(F.lit(b).cast("long"), F.lit(c).cast("long")).alias("p")).first().p
+    z = (abs(b - c) - 1) / math.sqrt(b + c)
+    assert p == pytest.approx(math.erfc(z / math.sqrt(2)), rel=1e-3)
+
+
 def test_mcnemar(spark):
     r = tests.mcnemar(frames(spark, [two((True, 1), (False, 1))] * 20)[2]).first()
     assert (r.discordant, r.b) == (20, 20) and r.p == pytest.approx(2 / 2**20)
