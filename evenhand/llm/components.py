@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         large = cut(large, "large-star")
         lowest = large.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
         small = large.join(lowest, F.col("u") == F.col("x")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(lowest.select(F.col("x").alias("u"), F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct(), "small-star")
+        before, edges = edges, cut(small.where("u <> v").distinct(), "small-star")
+        drop(before, large)
         now = _mark(edges)
         if now == seen:
             break

@@ -2,9 +2,10 @@
 
 Texts with the same shingle set fall into one class first. Every class has ``TREES`` signature orders; each order is sorted by
 range over all partitions, and a class's neighbours with the longest common prefix are its candidates: how deep
-the prefix reaches depends on how dense the region is. Candidates are confirmed on the full sets. What a window of
-neighbours can't reach in dense regions is taken up afterwards: members of different components there meet block by
-block. Components come from the confirmed links.
+the prefix reaches depends on how dense the region is. Candidates are confirmed on the full sets. The orders are taken in
+batches, and a later batch only pairs classes that are still in different components, so a large group of near copies is
+one component before most of its pairs have been compared. What a window of neighbours can't reach in dense regions is
+taken up afterwards: members of different components there meet block by block. Components come from the confirmed links.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, python_ready
+from .common import cut, drop, python_ready
 from .components import connected_components
 
 #: Orders, hashes an order is sorted by, and hashes that neighbours share at least. A pair of similarity s shares them in some order with a
 #: probability of 1 - (1 - s**3)**21: at 0.8, all but 3 in 10 million.
 TREES, DEPTH, LEAST_DEPTH = 21, 6, 3
-#: Following neighbours in an order that a class is compared with; the rest of a region comes in the second round.
+#: Following neighbours in an order that a class is compared with; the rest of a region comes in the last round.
 WINDOW = 4
-#: Rounds in which each class tries its likeliest partner only.
-LIKELIEST_ROUNDS = 3
+#: Orders of each batch.
+BATCHES = (1, 4, 16)
 #: Members of a dense region that meet in one task, and the estimate below which a pair of similarity 0.8 doesn't fall (by 4 deviations).
 BLOCK, LEAST_ESTIMATE = 256, 0.65
 
@@ -83,39 +84,40 @@ def _profile(k: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, part, node) in order -> pairs that share the least depth, and the rows next to the partition's ends (b null)."""
+    """Rows (tree, part, node, comp) in order -> pairs of different components that share the least depth, and the rows next to the partition's ends (b null)."""
     width = 4 * DEPTH
-    names = ["a", "b", "tree", "part"]
-    kept: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
+    names = ["a", "b", "tree", "part", "comp"]
+    kept: tuple[np.ndarray, ...] | None = None
     first: list[tuple] = []
 
-    def ends(t, p, n) -> list[tuple]:
-        return [(int(x), int(y), bytes(z)) for x, y, z in zip(n, t, p, strict=True)]
+    def ends(t, p, n, c) -> list[tuple]:
+        return [(int(x), int(y), bytes(z), int(w)) for x, y, z, w in zip(n, t, p, c, strict=True)]
 
     def edge(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=names)
+        n, t, p, c = (list(x) for x in zip(*rows, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(t, pa.int32()), pa.array(p, pa.binary()), pa.array(c, pa.int64())], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        t, n = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        t, n, c = (batch.column(i).to_numpy() for i in (0, 2, 3))
         p = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width)
         fresh = 0
         if kept is not None:
             fresh = len(kept[0])
-            t, p, n = np.r_[kept[0], t], np.r_[kept[1], p], np.r_[kept[2], n]
+            t, p, n, c = (np.concatenate(x) for x in zip(kept, (t, p, n, c), strict=True))
         if len(first) < WINDOW:
-            first = ends(t[:WINDOW], p[:WINDOW], n[:WINDOW])
+            first = ends(t[:WINDOW], p[:WINDOW], n[:WINDOW], c[:WINDOW])
         a, b = [], []
         for step in range(1, WINDOW + 1):
             i = np.arange(max(0, fresh - step), len(t) - step)
             if len(i):
-                i = i[(t[i] == t[i + step]) & (p[i, : 4 * LEAST_DEPTH] == p[i + step, : 4 * LEAST_DEPTH]).all(1) & (n[i] != n[i + step])]
+                i = i[(t[i] == t[i + step]) & (p[i, : 4 * LEAST_DEPTH] == p[i + step, : 4 * LEAST_DEPTH]).all(1) & (c[i] != c[i + step])]
                 a.append(n[i]), b.append(n[i + step])
         if a:
             a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary())], names=names)
-        kept = (t[-WINDOW:], p[-WINDOW:], n[-WINDOW:])
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64())], names=names)
+        kept = (t[-WINDOW:], p[-WINDOW:], n[-WINDOW:], c[-WINDOW:])
     if kept is not None:
         yield edge(sorted({*first, *ends(*kept)}))
 
@@ -159,18 +161,36 @@ def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return both.mapInArrow(_confirm(k, percent), "u long, v long")
 
 
-def _likeliest(pairs: DataFrame) -> DataFrame:
-    """Of (a, b, n) each class's pair with the largest n, then the smallest partner."""
-    either = pairs.select("a", "b", "n").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
-    best = either.groupBy("a").agg(F.max(F.struct(F.col("n"), (-F.col("b")).alias("b"))).alias("m")).select("a", (-F.col("m.b")).alias("b"))
-    return best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _part(t: int):
+    return F.substring("sig", t * 4 * DEPTH + 1, 4 * DEPTH)
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose components differ; a class without links is one of its own."""
-    held = lambda to: comps.select(F.col("node").alias(f"_{to}"), F.col("component").alias(to))
-    both = pairs.join(held("ca"), F.col("a") == F.col("_ca"), "left").join(held("cb"), F.col("b") == F.col("_cb"), "left")
-    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b", "n")
+def _with_component(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
+    """Adds ``comp``; a class without links is a component of its own."""
+    if comps is None:
+        return nodes.withColumn("comp", F.col("node"))
+    held = comps.select(F.col("node").alias("_c"), "component")
+    return nodes.join(held, F.col("node") == F.col("_c"), "left").withColumn("comp", F.coalesce("component", "node")).drop("_c", "component")
+
+
+def _candidates(classes: DataFrame, comps: DataFrame | None, trees: range, slots: int) -> DataFrame:
+    """(a, b) that are neighbours in one of the orders and in different components."""
+    orders = _with_component(classes.select("node", F.posexplode(F.array(*[_part(t) for t in trees])).alias("tree", "part")), comps)
+    sort, schema = ["tree", "part", "node"], "a long, b long, tree int, part binary, comp long"
+    found = cut(orders.select(*sort, "comp").repartitionByRange(slots, *sort).sortWithinPartitions(*sort).mapInArrow(_neighbours, schema), "neighbours")
+    # rows at the ends of partitions, a few of each: those of adjacent partitions are neighbours too
+    ends = found.where("b is null").select("tree", "part", F.col("a").alias("node"), "comp").coalesce(1).sortWithinPartitions(*sort).mapInArrow(_neighbours, schema)
+    pairs = cut(found.union(ends).where("b is not null").select("a", "b").distinct(), "pairs")
+    drop(found)
+    return pairs
+
+
+def _texts(own: DataFrame, named: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, text) of the classes in ``pairs``: the text of the row that gave the class its number."""
+    asked = pairs.select(F.col("a").alias("_n")).union(pairs.select("b")).distinct()
+    mine = classes.join(asked, F.col("node") == F.col("_n"), "left_semi").select("node", F.col("key").alias("_k"))
+    reps = named.select("doc_id", "key").join(mine, (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("node"))).select("node").distinct()
+    return own.join(reps, F.col("doc_id") == F.col("node")).groupBy("node").agg(F.min("text").alias("text"))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -189,49 +209,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     named = profile.where("key is not null and doc_id is not null")
     classes = cut(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "classes")
 
-    part = lambda t: F.substring("sig", t * 4 * DEPTH + 1, 4 * DEPTH)
-    orders = classes.select("node", F.posexplode(F.array(*[part(t) for t in range(TREES)])).alias("tree", "part"))
-    sort = ["tree", "part", "node"]
-    found = cut(orders.select(*sort).repartitionByRange(slots, *sort).sortWithinPartitions(*sort).mapInArrow(_neighbours, "a long, b long, tree int, part binary"), "neighbours")
-    # rows at the ends of partitions, a few of each: those of adjacent partitions are neighbours too
-    ends = found.where("b is null").select("tree", "part", F.col("a").alias("node")).coalesce(1).sortWithinPartitions(*sort).mapInArrow(_neighbours, "a long, b long, tree int, part binary")
-    pairs = cut(found.union(ends).where("b is not null").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")), "pairs")
-
-    # the texts of classes that have candidates
-    asked = cut(pairs.select(F.col("a").alias("_n")).union(pairs.select("b")).distinct(), "asked")
-    reps = named.select("doc_id", "key").join(classes.select(F.col("node"), F.col("key").alias("_k")), (F.col("key") == F.col("_k")) & (F.col("doc_id") == F.col("node"))).select("node").distinct()
-    reps = reps.join(asked, F.col("node") == F.col("_n"), "left_semi")
-    texts = cut(own.join(reps, F.col("doc_id") == F.col("node")).groupBy("node").agg(F.min("text").alias("text")), "texts")
-
-    # round by round each class's likeliest partner outside its component, then whatever still joins different ones:
-    # a large group of copies is one component long before all of its pairs have been compared
-    links, comps, apart = None, None, pairs
-    for i in range(LIKELIEST_ROUNDS + 1):
-        chosen = cut(_likeliest(apart) if i < LIKELIEST_ROUNDS else apart.select("a", "b"), "chosen")
-        new = cut(_links(chosen, texts, k, percent), "links")
+    links, comps, start = None, None, 0
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        texts = cut(_texts(own, named, classes, pairs), "texts")
+        new = cut(_links(pairs, texts, k, percent), "links")
+        drop(texts, pairs)
+        return new
+
+    for size in BATCHES:
+        new = confirmed(_candidates(classes, comps, range(start, start + size), slots))
         links = new if links is None else links.union(new)
+        if comps is not None:
+            drop(comps)
         comps = cut(connected_components(links), "components")
-        tried = chosen.select(F.col("a").alias("_x"), F.col("b").alias("_y"))
-        apart = cut(_apart(apart.join(tried, (F.col("a") == F.col("_x")) & (F.col("b") == F.col("_y")), "left_anti"), comps), "apart")
-        if apart.isEmpty():
-            break
-    held = lambda to: comps.select(F.col("node").alias(f"_{to}"), F.col("component").alias(to))
-
-    likely = classes.join(asked, F.col("node") == F.col("_n"), "left_semi")
-    regions = likely.select("node", "sig", F.posexplode(F.array(*[F.xxhash64(F.substring(part(t), 1, 4 * LEAST_DEPTH)) for t in range(TREES)])).alias("tree", "stem"))
+        start += size
+
+    regions = classes.select("node", F.posexplode(F.array(*[F.xxhash64(F.substring(_part(t), 1, 4 * LEAST_DEPTH)) for t in range(TREES)])).alias("tree", "stem"))
     sizes = regions.groupBy(F.col("tree").alias("_t"), F.col("stem").alias("_s")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > WINDOW + 1)
-    dense = regions.drop("sig").join(sizes, (F.col("tree") == F.col("_t")) & (F.col("stem") == F.col("_s"))).drop("_t", "_s").join(held("comp"), F.col("node") == F.col("_comp"), "left")
-    dense = cut(dense.select("tree", "stem", "size", "node", F.coalesce("comp", "node").alias("comp")), "dense")
+    dense = regions.join(sizes, (F.col("tree") == F.col("_t")) & (F.col("stem") == F.col("_s"))).drop("_t", "_s")
+    dense = cut(_with_component(dense, comps).select("tree", "stem", "size", "node", "comp"), "dense")
     mixed = dense.groupBy(F.col("tree").alias("_t"), F.col("stem").alias("_s")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    dense = dense.join(mixed, (F.col("tree") == F.col("_t")) & (F.col("stem") == F.col("_s")), "left_semi").join(classes.select(F.col("node").alias("_n"), "sig"), F.col("node") == F.col("_n"))
+    blocked = dense.join(mixed, (F.col("tree") == F.col("_t")) & (F.col("stem") == F.col("_s")), "left_semi").join(classes.select(F.col("node").alias("_n"), "sig"), F.col("node") == F.col("_n"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dense = dense.withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dense = dense.select("tree", "stem", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "comp", "sig", F.col("i").alias("home"))
-    rest = cut(dense.groupBy("tree", "stem", "i", "j").applyInPandas(_across, "a long, b long").distinct(), "rest")
-    links = links.union(cut(_links(rest, texts, k, percent), "links-2"))
+    blocked = blocked.withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    blocked = blocked.select("tree", "stem", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "comp", "sig", F.col("i").alias("home"))
+    rest = cut(blocked.groupBy("tree", "stem", "i", "j").applyInPandas(_across, "a long, b long").distinct(), "rest")
+    drop(dense)
+    links = links.union(confirmed(rest))
 
     comps = connected_components(links)
     ids = cut(classes.select("key", "node").join(comps.select(F.col("node").alias("_n"), "component"), F.col("node") == F.col("_n"), "left").select(F.col("key").alias("_k"), F.coalesce("component", "node").alias("component")), "ids")
+    drop(links, comps, classes)
     return profile.join(ids, F.col("key") == F.col("_k"), "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -104,9 +104,9 @@ def brute_components(sets, percent=80):
     return group
 
 
-@pytest.mark.parametrize(("window", "block", "rounds"), [(4, 256, 3), (1, 3, 0)])
-def test_near_duplicates_against_all_pairs(docs_of, by_id, monkeypatch, window, block, rounds):
-    for name, value in (("WINDOW", window), ("BLOCK", block), ("LIKELIEST_ROUNDS", rounds)):
+@pytest.mark.parametrize(("window", "block", "batches"), [(4, 256, (1, 4, 16)), (1, 3, (21,))])
+def test_near_duplicates_against_all_pairs(docs_of, by_id, monkeypatch, window, block, batches):
+    for name, value in (("WINDOW", window), ("BLOCK", block), ("BATCHES", batches)):
         monkeypatch.setattr(near_dedup, name, value)
     rng = random.Random(9)
     words = ["w" + str(i) for i in range(900)]
