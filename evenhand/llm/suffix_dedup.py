@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, python_ready
+from .common import cut, drop, pieces, python_ready
 from .suffix import repeated
 
 #: Bytes of an anchor, and of a shard's text, about.
@@ -27,7 +27,8 @@ MOST_SEGMENTS = 1_000
 
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
-_PLACE = 28
+#: Bits of a position beside 32 of a hash; a text of Arrow's strings has fewer bytes than 2**31.
+_PLACE = 32
 
 
 def _inverse(x: int) -> int:
@@ -187,8 +188,10 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     own = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
     found = cut(own.mapInArrow(_cut_up(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, t long, p long, n long, a long, d long, e long"), "segments")
     again = found.groupBy(F.col("a").alias("_a")).agg(F.count(F.lit(1)).alias("m"), *[f(c).alias(f"{c}{i}") for c in "de" for i, f in enumerate((F.min, F.max))]).where("m > 1")
-    again = again.select("_a", ((F.col("d0") != F.col("d1")) | (F.col("e0") != F.col("e1"))).alias("mixed"))
+    # written first: what stands right before a join can't be split, and one anchor may have very many segments
+    again = cut(again.select("_a", ((F.col("d0") != F.col("d1")) | (F.col("e0") != F.col("e1"))).alias("mixed")), "again")
     twice = cut(found.join(again, F.col("a") == F.col("_a")).drop("_a"), "anchored")
+    drop(found, again)
     alike = twice.where("not mixed").select("doc_id", "t", "p", F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
 
     mixed = twice.where("mixed").drop("mixed")
@@ -211,6 +214,7 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     differing = mixed.join(marks, on).select("doc_id", "t", "p", F.explode("found").alias("f")).select("doc_id", "t", "p", "f.lo", "f.hi")
     every = alike.union(differing).groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_list(F.struct((F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi")).alias("hi"))).alias("found"))
     every = cut(every, "found")
+    drop(twice, distinct, crowd, texts, digests)
     both = own.join(every, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")), "left").select("doc_id", "text", "found")
     return both.mapInArrow(_strip(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
