@@ -51,25 +51,28 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), seed: str = "mix", **share
     ``epochs`` whole passes over a source come first; of the pass that the budget ends in, the documents up to it in key
     order are taken, and the one that the budget falls into gives its first words only. ``taken`` counts words, repeats
     included. Empty tables give no row, null and empty texts have size 0 and give 0, null sources are a source of their
-    own, and repeated rows are rows. Other columns are left out, but for those named in ``carry``.
+    own, and repeated rows are rows: of rows with one id, size and text any is like the other. Other columns are left out, but for those named in ``carry``.
     """
+    tie = F.xxhash64(whole_text())
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("?"), tie.cast("string")))  # rows without an id are spread by their texts
     keyed = docs.select(
-        "doc_id", "source", n_words().alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("_key"), *carry
+        "doc_id", "source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_src"), n_words().alias("size"), tie.alias("_tie"), F.md5(F.concat(F.lit(f"{seed}:"), ident)).alias("_key"), *carry
     ).withColumn("_range", F.substring("_key", 1, RANGE_DIGITS))
     slim = keyed if carry else (keyed := cut(keyed, "mix-keys"))
-    ranges = cut(slim.groupBy("source", "_range").agg(F.sum("size").alias("_words")), "mix-ranges")
+    ranges = cut(slim.groupBy("source", "_src", "_range").agg(F.sum("size").alias("_words")), "mix-ranges")
     aims = targets(ranges.groupBy("source").agg(F.sum("_words").alias("source_size")), **shares)
-    earlier = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("_src").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         ranges.withColumn("_start", F.coalesce(F.sum("_words").over(earlier), F.lit(0)))
-        .join(aims.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
-        .select(F.col("source").alias("_s"), F.col("_range").alias("_r"), "_start", "source_size", "target")
+        .join(aims.withColumnRenamed("source", "_o"), F.col("source").eqNullSafe(F.col("_o")))
+        .select(F.col("_src").alias("_s"), F.col("_range").alias("_r"), "_start", "source_size", "target")
     )
-    inside = Window.partitionBy("source", "_range").orderBy("_key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # dealt like the join: whole texts may travel with the rows, and they travel once
+    inside = Window.partitionBy("_src", "_range").orderBy("_key", "doc_id", "size", "_tie").rowsBetween(Window.unboundedPreceding, -1)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.floor(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long")
     return (
-        keyed.join(starts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_range") == F.col("_r")))
+        keyed.join(starts, (F.col("_src") == F.col("_s")) & (F.col("_range") == F.col("_r")))
         .withColumn("before", F.col("_start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .withColumn("epochs", epochs)
         .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before"))).cast("long"))
