@@ -206,8 +206,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     profile = cut(own.mapInArrow(_profile(k), "doc_id long, n long, key binary, sig binary"), "profiles")
+    classes = cut(profile.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "classes")
+    whole, profile = profile, cut(profile.drop("sig"), "sizes")
+    drop(whole)
     named = profile.where("key is not null and doc_id is not null")
-    classes = cut(named.groupBy("key").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "classes")
 
     links, comps, start = None, None, 0
 
