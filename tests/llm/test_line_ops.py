@@ -154,3 +154,16 @@ def test_whole_drops_copies_of_short_lines_and_lines_without_blanks(docs_of, by_
     texts = {1: f"Ietzte.\ntwo words\n{plain}\n{spaced}\n\u00a0", 2: f"two words\nietzte\n{plain}\n{spaced}\n\u00a0", 3: "two words\nown line", 4: plain[:-1] + "\u306d"}
     got = by_id(line_dedup.dedup_lines(docs_of(texts.items()), whole=True))
     assert [got[i].text for i in (1, 2, 3, 4)] == [texts[1], "\u00a0", "own line", ""]
+
+
+def test_recall_of_like_lines_against_all_pairs(spark, sf_dir, duck):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    occurrences, groups = line_dedup.line_groups(docs, whole=True)
+    comp = {(r.h, r.g): r.comp for r in groups.collect()}
+    lines = [r for r in line_dedup.lines_of(docs, True).select("h", "g", "norm").distinct().collect() if 12 <= len(r.norm) <= 400]
+    sets = [set(r.norm.split()) for r in lines]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 10 * len(a & b) >= 3 * len(a | b)]  # those of fewer common words are beyond a fifth, but for misspellings of most words
+    like = [(i, j) for i, j in near if duck.execute("select levenshtein(?, ?)", [lines[i].norm, lines[j].norm]).fetchone()[0] * 5 <= max(len(lines[i].norm), len(lines[j].norm))]
+    joined = sum(comp.get((lines[i].h, lines[i].g), 0) == comp.get((lines[j].h, lines[j].g), 1) for i, j in like)
+    print(f"{joined} of {len(like)} like pairs are in one group")
+    assert len(like) >= 20 and joined >= 0.9 * len(like)
