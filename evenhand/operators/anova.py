@@ -11,8 +11,15 @@ from ..workers import ship
 
 
 def complete(decisions: DataFrame, n_groups: int = len(GROUPS)) -> DataFrame:
-    """(domain, scaffold, profile_id, scores): scores in order of group, of the profiles that have one in each."""
-    got = decisions.where("score is not null").groupBy("domain", "scaffold", "profile_id").agg(F.sort_array(F.collect_list(F.struct("group", "score"))).alias("m"))
+    """(domain, scaffold, profile_id, scores): scores in order of group, of the profiles that have one in each.
+
+    Of repeated records of a group the last by ``ord`` counts, where there is such a column, then the larger score.
+    """
+    key = ["domain", "scaffold", "profile_id"]
+    order = F.col("ord") if "ord" in decisions.columns else F.lit(0)
+    # dealt by profile, so that what follows needs no second shuffle
+    last = decisions.repartition(*key).groupBy(*key, "group").agg(F.max(F.struct(order.alias("ord"), "score")).alias("r")).select(*key, "group", F.col("r.score").alias("score"))
+    got = last.where("score is not null").groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("group", "score"))).alias("m"))
     return got.where(F.size("m") == n_groups).select("domain", "scaffold", "profile_id", F.transform("m", lambda s: s["score"]).alias("scores"))
 
 

@@ -34,8 +34,12 @@ def missing(grid: DataFrame, raw: DataFrame) -> DataFrame:
 
 
 def retest(first: DataFrame, second: DataFrame, by: list[str]) -> DataFrame:
-    """Agreement over all pairs, unknown actions included in the count, and mean absolute difference of known scores."""
-    both = first.select(*KEY, "action", "score").join(second.select(*KEY, F.col("action").alias("action2"), F.col("score").alias("score2")), KEY)
+    """Agreement over all pairs, unknown actions included in the count, and mean absolute difference of known scores.
+
+    Of a cell's records on either side the last by ``ord`` counts, where there is such a column.
+    """
+    last = lambda d: latest(d.select(*KEY, F.col("ord") if "ord" in d.columns else F.lit(0).alias("ord"), "score", "action"))
+    both = last(first).join(last(second).select(*KEY, F.col("action").alias("action2"), F.col("score").alias("score2")), KEY)
     return both.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pairs"),
         (F.count_if(F.col("action") == F.col("action2")) / F.count(F.lit(1))).alias("agreement"),

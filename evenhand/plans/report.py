@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import scenarios as S
 from ..operators import disparity, matched, replay, resample, tests
 from ..schema import CELL, REFERENCE, SEED
 
@@ -79,8 +80,14 @@ def write(doc: dict, path: str) -> None:
 
 
 def write_raw(decisions: DataFrame, path: str) -> None:
-    """JSONL traces, one line a decision, written in parallel."""
-    decisions.select(F.to_json(F.struct(*CELL, "profile_id", "group", "name", F.struct("action", "score", "tool_request").alias("decision"))).alias("value")).write.mode("overwrite").text(path)
+    """JSONL traces, one line a decision, written in parallel. The payload has its domain's field names, or is the recorded one."""
+    dims = F.broadcast(S.domains(decisions.sparkSession).select("domain", "action_name", "score_name"))
+    field = lambda name, v: F.when(v.isNotNull(), F.concat(F.lit('"'), name, F.lit('":'), v.cast("string")))
+    made = F.concat(F.lit("{"), F.concat_ws(",", field(F.col("action_name"), F.col("action")), field(F.col("score_name"), F.col("score")), field(F.lit(S.TOOL_FIELD), F.col("tool_request"))), F.lit("}"))
+    payload = F.coalesce("raw", made) if "raw" in decisions.columns else made
+    head = F.to_json(F.struct(*CELL, "profile_id", "group", "name"))
+    line = F.concat(F.expr("substr(_head, 1, length(_head) - 1)"), F.lit(',"decision":'), F.coalesce("_payload", F.lit("{}")), F.lit("}"))
+    decisions.join(dims, "domain", "left").select(head.alias("_head"), payload.alias("_payload")).select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def board_html(board: DataFrame) -> str:

@@ -78,9 +78,17 @@ def varied(base: DataFrame, salt: str = "first", codes: tuple[str, ...] = ("C0",
 
 
 def trace(spark: SparkSession, path: str, model: str | None = None) -> DataFrame:
-    """JSONL traces; the payload stays text for ``parse``. ``ord`` follows file and line order within a file's splits."""
+    """JSONL traces; the payload stays text for ``parse``. ``ord`` follows file names, then the order of lines in a file.
+
+    Spark packs pieces of files into tasks by size, so a row's running number alone says nothing about the order. A piece
+    that others follow in its file fills a task, and a line has two bytes or more: its start and the running number add up.
+    """
     rows = spark.read.schema(TRACE).json(path)
+    plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  file:/// and file:/ are one
+    names = spark.createDataFrame([*enumerate(sorted(rows.inputFiles()))], "_file int, _name string").withColumn("_name", plain("_name"))  # a row a file
+    place = F.col("_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_place", place)
     rows = rows if model is None else rows.where(F.col("model") == model)
     dims = F.broadcast(S.domains(spark).select("domain", "action_name", "score_name"))
-    rows = rows.join(dims, "domain", "left").withColumn("ord", F.monotonically_increasing_id())
+    rows = rows.join(names, plain("_path") == F.col("_name"), "left").join(dims, "domain", "left").withColumn("ord", F.coalesce("_file", F.lit(0)).cast("long") * (1 << 44) + F.col("_place"))
     return rows.withColumns(S.parse(F.col("decision"), F.col("action_name"), F.col("score_name"))).select("ord", "domain", "scaffold", "model", "profile_id", "group", "name", "action", "score", "tool_request", F.col("decision").alias("raw"))

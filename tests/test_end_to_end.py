@@ -42,13 +42,15 @@ def test_neutral_and_biased_reports(spark, split, tmp_path):
     assert len(raw) == 24 * 2 * 6
     trace = tmp_path / "trace"
     trace.mkdir()
-    names = {d[0]: (d[4], d[5]) for d in S.DOMAINS}
-    held = [r | {"decision": json.dumps({names[r["domain"]][0]: r["decision"]["action"], names[r["domain"]][1]: r["decision"]["score"]})} for r in raw if r["scaffold"] == "C0" and r["profile_id"] != "hiringp0"]
+    held = [r for r in raw if r["scaffold"] == "C0" and r["profile_id"] != "hiringp0"]
     (trace / "t.jsonl").write_text("\n".join(map(json.dumps, held)))
     cli.main(["report", "--profiles", split, "--raw", str(trace), "--model", "mock", "--out", f"{tmp_path}/c", "--n-boot", "50", "--scaffolds", "C0"])
     again = json.loads((tmp_path / "c_report.json").read_text())
     assert again["n_records"] == 24 * 6 and again["cells"]["hiring|C0|mock"]["cfr_sets"] == 7
 
+    cli.main(["report", "--profiles", split, "--raw", f"{tmp_path}/b_raw", "--model", "mock", "--out", f"{tmp_path}/d", "--n-boot", "100", "--scaffolds", "C0"])
+    assert json.loads((tmp_path / "d_report.json").read_text()) == biased  # what a run writes gives its report again
+
     q = stream.ingest(spark, str(trace), f"{tmp_path}/sink", f"{tmp_path}/check")
     q.awaitTermination(60)
     assert spark.read.parquet(f"{tmp_path}/sink").where("score is not null").count() == len(held)
@@ -93,3 +95,11 @@ def test_bibtex(spark):
     rows = spark.createDataFrame([("k", "T", "A", 2020, "V", "arXiv:1", "u"), ("l", "T", "A", 2020, None, "doi:10.1/x", None)], "key string, title string, authors string, year int, venue string, id string, url string")
     a, b = (r.e for r in rows.select(textcheck.bibtex(*map(F.col, rows.columns)).alias("e")).collect())
     assert a.startswith("@misc{k,") and "eprint = {1}" in a and b.startswith("@article{l,") and "doi = {10.1/x}" in b and "journal" not in b
+
+
+def test_last_record_of_a_trace_wins_by_file_and_line(spark, tmp_path):
+    line = lambda i, score: json.dumps({"model": "m", "domain": "hiring", "scaffold": "C0", "profile_id": f"p{i}", "group": GROUPS[0], "name": "n", "decision": {"advance": True, "score": score}})
+    (tmp_path / "b.jsonl").write_text(line(0, 2))  # shorter files come later in a task
+    (tmp_path / "a.jsonl").write_text("\n".join([*(line(i, 1) for i in range(300)), *(line(i, 3) for i in range(1, 300))]))
+    rows = decisions.trace(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [r.score for r in rows] == [1.0] * 300 + [3.0] * 299 + [2.0]

@@ -163,3 +163,14 @@ def test_published_cost_and_composite(spark):
     cells = spark.createDataFrame([("m", "hiring", 0.1, 10.0, 0.2), ("m", "triage", 0.0, 8.0, None), ("n", "triage", None, 1.0, 0.0)], "model string, domain string, cfr double, masd double, disparity double")
     got = {r.model: (r.composite_score, r.position) for r in replay.leaderboard(cells).collect()}
     assert got == {"m": (0.8667, 1), "n": (None, 2)}
+
+
+def test_retest_and_matrix_take_the_last_record(spark):
+    row = "domain string, scaffold string, profile_id string, `group` string, ord int, action boolean, score double"
+    first = spark.createDataFrame([("hiring", "C0", "p", "g", 0, True, 1.0), ("hiring", "C0", "p", "g", 1, False, 5.0)], row)
+    second = spark.createDataFrame([("hiring", "C0", "p", "g", 0, True, 9.0), ("hiring", "C0", "p", "g", 1, False, 7.0)], row)
+    r = replay.retest(first, second, ["domain"]).first()
+    assert (r.n_pairs, r.agreement, r.mae) == (1, 1.0, 2.0)
+    rows = [("hiring", "C0", "p", g, 0, True, float(i)) for i, g in enumerate("aab")] + [("hiring", "C0", "q", g, i, True, float(i)) for i, g in enumerate("abca")]
+    got = anova.complete(spark.createDataFrame(rows, row), 3).collect()
+    assert [(r.profile_id, list(r.scores)) for r in got] == [("q", [3.0, 1.0, 2.0])]
