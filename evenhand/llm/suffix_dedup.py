@@ -210,11 +210,12 @@ def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
     counted = digests.join(common, (F.col("x") == F.col("_x")) & (F.col("y") == F.col("_y"))).select(*key, "lo", (F.col("lo") + 1).alias("hi"))
     whole = distinct.where("m > 1").select(*key, F.lit(0).cast("long").alias("lo"), F.col("n").alias("hi"))
     marks = shard.union(counted).union(whole).groupBy(*[F.col(c).alias(f"_{c}") for c in key]).agg(F.collect_list(F.struct("lo", "hi")).alias("found"))
+    marks = cut(marks, "marks")  # as above: one segment may be that of very many documents
     on = [F.col(c) == F.col(f"_{c}") for c in key]
     differing = mixed.join(marks, on).select("doc_id", "t", "p", F.explode("found").alias("f")).select("doc_id", "t", "p", "f.lo", "f.hi")
     every = alike.union(differing).groupBy(F.col("doc_id").alias("_doc"), F.col("t").alias("_t")).agg(F.collect_list(F.struct((F.col("p") + F.col("lo")).alias("lo"), (F.col("p") + F.col("hi")).alias("hi"))).alias("found"))
     every = cut(every, "found")
-    drop(twice, distinct, crowd, texts, digests)
+    drop(twice, distinct, crowd, texts, digests, marks)
     both = own.join(every, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")), "left").select("doc_id", "text", "found")
     return both.mapInArrow(_strip(length), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, kept binary, spans array<struct<start:long,end:long>>")
 
