@@ -33,7 +33,17 @@ def domains(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(DOMAINS, "domain string, subject string, role_field string, task string, action_name string, score_name string, score_range array<int>, higher_is_favorable boolean")
 
 
+def with_domain(rows: DataFrame) -> DataFrame:
+    """Adds the columns of each row's domain; a domain that is not known is an error."""
+    dims = domains(rows.sparkSession).withColumnRenamed("action_name", "_action_name")
+    known = F.coalesce("_action_name", F.raise_error(F.concat(F.lit("unknown domain "), F.coalesce("domain", F.lit("null")))).cast("string"))
+    return rows.join(F.broadcast(dims), "domain", "left").withColumn("action_name", known).drop("_action_name")
+
+
 def scaffolds(spark: SparkSession, codes: tuple[str, ...] = ("C0", "C2", "C3")) -> DataFrame:
+    unknown = set(codes) - {s[0] for s in SCAFFOLDS}
+    if unknown:
+        raise ValueError(f"unknown scaffolds {sorted(unknown)}")
     return spark.createDataFrame([s for s in SCAFFOLDS if s[0] in codes], "scaffold string, instruction string, has_tool boolean")
 
 
@@ -48,10 +58,15 @@ def prompt_body() -> Column:
     )
 
 
+def prompt_head() -> Column:
+    """What stands before the body: the task, the scaffold's instruction and the name, up to the marker."""
+    capital = F.concat(F.upper(F.substring("subject", 1, 1)), F.lower(F.expr("substr(subject, 2)")))
+    return F.concat("task", F.lit(" "), "instruction", F.lit("\n\n"), capital, F.lit(" name: "), "name", F.lit(f"\n{MARKER}"))
+
+
 def prompt() -> Column:
     """From the columns of a domain, a scaffold, ``name`` and ``content``."""
-    capital = F.concat(F.upper(F.substring("subject", 1, 1)), F.lower(F.expr("substr(subject, 2)")))
-    return F.concat("task", F.lit(" "), "instruction", F.lit("\n\n"), capital, F.lit(" name: "), "name", F.lit(f"\n{MARKER}"), prompt_body())
+    return F.concat(prompt_head(), prompt_body())
 
 
 def decision_schema() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CELL, REFERENCE
+from . import tests
 
 
 def flip_rate(summary: DataFrame) -> DataFrame:
@@ -46,3 +47,12 @@ def gaps(by_group: DataFrame, sign: int, rate: str = "rate", reference: str = RE
 
 def validity(decisions: DataFrame) -> DataFrame:
     return decisions.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_records"), F.count("action").alias("n_action"), F.count("score").alias("n_score"), F.count("tool_request").alias("n_tool"))
+
+
+def details(decisions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """A row a (cell, group) beside the reference: the figures behind both tests, pairwise metrics, and gaps of both rates."""
+    key = [*CELL, "group"]
+    rows = tests.mcnemar(pairs).select(*key, "b", "c").join(tests.wilcoxon(pairs).select(*key, F.col("n").alias("n_nonzero"), "w", "z"), key)
+    for more in (pairwise_flip(pairs).drop("n_pairs"), pairwise_difference(pairs).drop("n_pairs"), gaps(rates(decisions), 1).withColumnRenamed("gap", "action_gap"), gaps(rates(decisions, "tool_request"), -1).withColumnRenamed("gap", "tool_gap")):
+        rows = rows.join(more, key, "left")
+    return rows

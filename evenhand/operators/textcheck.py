@@ -57,3 +57,15 @@ def bibtex(key: Column, title: Column, authors: Column, year: Column, venue: Col
     kind = F.when(doi, "article").otherwise("misc")
     fields = F.concat_ws(",\n", field("title", title), field("author", authors), field("year", year.cast("string")), field("journal", venue), extra, field("url", url))
     return F.concat(F.lit("@"), kind, F.lit("{"), key, F.lit(",\n"), fields, F.lit("\n}\n"))
+
+
+def all_verified(records: DataFrame, by: list[str], flag: str = "verified") -> DataFrame:
+    """Whether all records of a key are verified; an unknown flag counts as no."""
+    return records.groupBy(*by).agg(F.bool_and(F.coalesce(F.col(flag), F.lit(False))).alias("all_verified"))
+
+
+def clean(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
+    """The rows of (key, text) ``second`` that may be written: the first has a text, and no number or citation differs from it."""
+    known = first.where(F.col("text") != "").select(key)
+    cites = citation_differences(first, second, key).where("lost > 0 or gained > 0").select(key)
+    return second.join(known, key, "left_semi").join(number_differences(first, second, key).select(key), key, "left_anti").join(cites, key, "left_anti")

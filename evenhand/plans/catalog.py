@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scenarios as S
 from ..functions import stats
-from ..operators import anova, disparity, matched, replay, resample, tests, textcheck
+from ..operators import anova, disparity, matched, panel, replay, resample, tests, textcheck
 from ..schema import CELL, GROUPS
 from ..sources import decisions as D
 from .oracles import ORACLES  # noqa: F401
@@ -196,11 +196,32 @@ def arity_null(s, d):
 
 
 @query
-def arity_summary(s, d):
+def arity_observed_summary(s, d):
     rows = anova.observed(_wide(s, d)).agg(F.min("obs").alias("lowest"), F.max("obs").alias("highest"), F.avg("obs").alias("mean"), F.count_if(F.col("obs") > 3.5).alias("above"))
     return _rounded(rows, "lowest", "highest", "mean")
 
 
+@query
+def arity_naive_ratio(s, d):
+    rows = panel.naive_ratios(_wide(s, d)).select(panel.cell_code(F.col("domain"), F.col("scaffold")).alias("cell"), "obs", "old_floor", "old_ratio")
+    return _rounded(rows, "obs", "old_ratio")
+
+
+@query
+def arity_naive_summary(s, d):
+    return _rounded(panel.ratio_summary(panel.naive_ratios(_wide(s, d)), "old_ratio"), "lowest", "highest", "mean")
+
+
+@query
+def arity_report(s, d):
+    return panel.arity_report(_wide(s, d))
+
+
+@query
+def arity_summary(s, d):
+    return panel.arity_summary(panel.arity_report(_wide(s, d)))
+
+
 @query
 def bootstrap_ci_distinct(s, d):
     return resample.bootstrap(resample.set_values(_summary(s, d), "cfr"))
@@ -260,7 +281,7 @@ def counterfactual_grid(s, d):
 
 @query
 def prompt_build(s, d):
-    rows = D.grid(D.profiles(s, d).join(F.broadcast(S.domains(s)), "domain")).withColumn("name", F.get("pool", (F.col("doc_id") % 5).cast("int")))
+    rows = D.grid(S.with_domain(D.profiles(s, d))).withColumn("name", F.get("pool", (F.col("doc_id") % 5).cast("int")))
     return rows.select("profile_id", "scaffold", "group", F.sha2(S.prompt(), 256).alias("prompt_sha256"))
 
 
@@ -291,16 +312,24 @@ def planted_bias(s, d):
     return _rounded(both.select("domain", "scaffold", "cfr", "masd", "n_sets"), "cfr", "masd")
 
 
+@query
+def substring_bias(s, d):
+    label = F.when(F.col("doc_id") % 2 == 0, F.initcap(panel.spaced(F.col("group"))))
+    rows = D.mock(D.profiles(s, d), bias={"black_female": -25, "hispanic_male": 10}, name=F.coalesce(label, F.get("pool", (F.col("doc_id") % 5).cast("int"))), by_prompt=True)
+    return rows.select("profile_id", "domain", "scaffold", "group", "name", "score", "action")
+
+
 @query
 def name_assignment_hash(s, d):
     return D.grid(D.profiles(s, d).drop("content"), ("C0",)).select("profile_id", "group", D.hashed_name().alias("name"))
 
 
 def _runs(s, d):
-    base = D.profiles(s, d)
-    first = D.varied(base.where("doc_id % 3 = 0"))  # the traces that are to be replayed: not all cells have one
-    second = D.varied(base.where("doc_id % 6 = 0"), "second")
-    return D.grid(base.drop("content")), replay.union_runs(first, second).withColumnRenamed("source_ord", "ord")
+    """The grid of all sets and groups, and two traces: the records whose action is known, then those whose score is."""
+    rows = D.from_lineitem(s, d)
+    cells = rows.select("domain", "scaffold", "profile_id").distinct().crossJoin(F.broadcast(D.groups(s).select("group")))
+    runs = replay.union_runs(rows.where("action is not null"), rows.where("score is not null"))
+    return cells, runs.withColumn("ord", F.col("source_ord").cast("long") * (1 << 60) + F.col("ord"))
 
 
 @query
@@ -317,7 +346,7 @@ def replay_missing_cells(s, d):
 
 @query
 def union_runs(s, d):
-    return _rounded(_runs(s, d)[1].groupBy(F.col("ord").alias("source_ord")).agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), "mean_score")
+    return _rounded(_runs(s, d)[1].groupBy("source_ord").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score")), "mean_score")
 
 
 @query
@@ -362,3 +391,50 @@ def dash_count(s, d):
 @query
 def word_count(s, d):
     return _docs(s, d).select("doc_id", textcheck.words(F.col("text")).alias("n_words"))
+
+
+#: Payloads by doc_id modulo 4: the score under any domain's name, other numbers beside it.
+SCORED = ['{"score": %d, "acuity": 9}', '{"acuity": 2, "apr_tier": %d}', '{"acuity": %d}', '{"approve": true, "apr_tier": "%d.5"}']
+
+
+@query
+def first_score_field(s, d):
+    raw = F.replace(F.get(F.array(*map(F.lit, SCORED)), (F.col("doc_id") % 4).cast("int")), F.lit("%d"), (F.col("doc_id") % 101).cast("string"))
+    return _docs(s, d).select("doc_id", panel.first_score(raw).alias("score"))
+
+
+@query
+def model_key_map(s, d):
+    keys = F.array(*map(F.lit, ("haiku", "sonnet", "opus", "gpt-4o", "other")))
+    rows = panel.pinned(_docs(s, d).select(F.get(keys, (F.col("doc_id") % 5).cast("int")).alias("model")))
+    return rows.groupBy("model").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def cell_labels(s, d):
+    group = F.col("group")
+    return D.from_lineitem(s, d).select(panel.cell_code(F.col("domain"), F.col("scaffold")).alias("cell"), "group", panel.dashed(group).alias("dashed"), panel.spaced(group).alias("spaced")).distinct()
+
+
+@query
+def c4_tool_table(s, d):
+    return _rounded(panel.tool_cells(disparity.rates(D.from_lineitem(s, d), "tool_request")).select(*CELL, "disparity"), "disparity")
+
+
+@query
+def all_verified(s, d):
+    records = s.read.parquet(f"{d}/orders.parquet").select("o_custkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F").alias("verified"))
+    return textcheck.all_verified(records, ["o_custkey"])
+
+
+@query
+def clean_gate(s, d):
+    docs = _docs(s, d).select("doc_id", "text")
+    edited = docs.withColumn("text", F.when(F.length("text") % 2 == 1, _first_edit()).otherwise(F.col("text")))
+    return textcheck.clean(docs, edited, "doc_id").select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query
+def contrast_details(s, d):
+    rows = D.from_lineitem(s, d)
+    return _rounded(disparity.details(rows, matched.reference_pairs(matched.last_wins(rows))), "flip_rate", "mean_abs_diff", "action_gap", "tool_gap", "z")

@@ -2,7 +2,7 @@
 
 from ..functions import scenarios as S
 from ..functions import stats
-from ..operators import replay
+from ..operators import panel, replay
 from ..schema import GROUPS, REFERENCE
 
 _list = lambda v: "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in v) + "]"
@@ -87,17 +87,22 @@ PPF = f"""CASE WHEN p <= 0 THEN '-inf'::DOUBLE WHEN p >= 1 THEN 'inf'::DOUBLE WH
  WHEN p > {1 - stats.PPF_LOW!r} THEN -{_tail("sqrt(-2 * ln(1 - p))")} ELSE {_poly(stats.PPF_A, "((p - 0.5) * (p - 0.5))")} * (p - 0.5) / {_poly([*stats.PPF_B, 1.0], "((p - 0.5) * (p - 0.5))")} END"""
 _prices = ", ".join(f"('{m}', {a}::DOUBLE, {b}::DOUBLE)" for m, a, b in replay.PRICES)
 _tokens = ", ".join(f"('{s}', {a}, {b})" for s, a, b in replay.TOKENS)
-_GRID = 'SELECT pr.domain, scaffold, profile_id, "group", doc_id, gi FROM pr, sca, grp WHERE scaffold <> \'C4\''
-#: Raw traces of the replay queries: every third document, the second run again every sixth.
-RAW = f""", gr AS ({_GRID}),
-t1 AS (SELECT v.domain, v.scaffold, v.profile_id, v."group", score, score >= 50 AS action, doc_id FROM v WHERE doc_id % 3 = 0),
-t2 AS (SELECT v2.domain, v2.scaffold, v2.profile_id, v2."group", score, score >= 50 AS action FROM v2 WHERE CAST(profile_id AS BIGINT) % 6 = 0),
-un AS (SELECT domain, scaffold, profile_id, "group", score, action, 0 AS source_ord FROM t1 UNION ALL SELECT domain, scaffold, profile_id, "group", score, action, 1 FROM t2),
-la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, scaffold, profile_id, "group" ORDER BY source_ord DESC) AS rn FROM un) WHERE rn = 1)
+#: Raw traces of the replay queries: records whose action is known, then those whose score is.
+RAW = f""", gr AS (SELECT DISTINCT domain, scaffold, profile_id, u."group" FROM d, (SELECT unnest({_list(GROUPS)}) AS "group") u),
+un AS (SELECT domain, scaffold, profile_id, "group", score, action, ord, 0 AS source_ord FROM d WHERE action IS NOT NULL UNION ALL SELECT domain, scaffold, profile_id, "group", score, action, ord, 1 FROM d WHERE score IS NOT NULL),
+la AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, scaffold, profile_id, "group" ORDER BY source_ord DESC, ord DESC, score DESC NULLS LAST, action DESC NULLS LAST) AS rn FROM un) WHERE rn = 1)
 """
 _N = "CAST({0} AS BIGINT)"
 EDITED = r"regexp_replace(text, '(a)([a-z])', '\1 7\2')"
 
+_floors = ", ".join(f"('{a}', '{b}', {c}::DOUBLE)" for a, b, c in panel.OLD_FLOORS)
+NAIVE = f""", fl(domain, scaffold, old_floor) AS (VALUES {_floors}),
+ob AS (SELECT domain, scaffold, avg(r) AS obs FROM (SELECT domain, scaffold, profile_id, max(score) - min(score) AS r FROM v GROUP BY ALL) GROUP BY ALL),
+nr AS (SELECT substr(domain, 1, 3) || '-' || scaffold AS cell, obs, old_floor, obs / old_floor AS old_ratio FROM ob JOIN fl USING (domain, scaffold))
+"""
+_hit = lambda g, d: f"CASE WHEN contains(pl, '{g.replace('_', ' ')}') OR contains(pl, '{g}') THEN {d} ELSE 0 END"
+_pinned = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in panel.MODEL_IDS.items())
+
 ORACLES = {
     "cfr_by_cell": M1 + "SELECT domain, scaffold, model, round(avg(CAST(flip AS INT)) FILTER (n_act >= 2), 6) AS cfr, count(*) FILTER (n_act >= 2) AS n_sets FROM s GROUP BY ALL",
     "cfr_pairwise_ref": M1 + 'SELECT domain, scaffold, model, "group", round(avg(CAST(action <> ref_action AS INT)), 6) AS flip_rate, count(*) AS n_pairs FROM p WHERE action IS NOT NULL AND ref_action IS NOT NULL GROUP BY ALL',
@@ -147,9 +152,9 @@ CASE doc_id % 8 WHEN 0 THEN true WHEN 7 THEN false END AS tool_request FROM docu
     "planted_bias": M2 + """, z AS (SELECT domain, scaffold, profile_id, "group", greatest(0, base - CASE WHEN "group" = 'black_female' THEN 25 ELSE 0 END) AS score FROM k, sca, grp WHERE scaffold <> 'C4'),
 zz AS (SELECT domain, scaffold, profile_id, max(score) - min(score) AS spread, bool_or(score >= 50) <> bool_and(score >= 50) AS flip FROM z GROUP BY ALL)
 SELECT domain, scaffold, round(avg(CAST(flip AS INT)), 6) AS cfr, round(avg(spread), 6) AS masd, count(*) AS n_sets FROM zz GROUP BY ALL""",
-    "replay_left_join": M2 + RAW + 'SELECT gr.domain, gr.scaffold, gr.profile_id, gr."group", la.score, la.action FROM gr LEFT JOIN la USING (domain, scaffold, profile_id, "group")',
-    "replay_missing_cells": M2 + RAW + 'SELECT gr.domain, gr.scaffold, gr.profile_id, gr."group" FROM gr ANTI JOIN un USING (domain, scaffold, profile_id, "group")',
-    "union_runs": M2 + RAW + "SELECT source_ord, count(*) AS n, round(avg(score), 6) AS mean_score FROM un GROUP BY source_ord",
+    "replay_left_join": M1 + RAW + 'SELECT gr.domain, gr.scaffold, gr.profile_id, gr."group", la.score, la.action FROM gr LEFT JOIN la USING (domain, scaffold, profile_id, "group")',
+    "replay_missing_cells": M1 + RAW + 'SELECT gr.domain, gr.scaffold, gr.profile_id, gr."group" FROM gr ANTI JOIN un USING (domain, scaffold, profile_id, "group")',
+    "union_runs": M1 + RAW + "SELECT source_ord, count(*) AS n, round(avg(score), 6) AS mean_score FROM un GROUP BY source_ord",
     "content_hash": "SELECT doc_id, substr(sha256(text), 1, 16) AS content_sha256_16 FROM documents",
     "number_multiset_diff": f"""WITH e AS (SELECT doc_id, text, {EDITED} AS edited FROM documents),
 a AS (SELECT doc_id, number, count(*) AS n1 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) AS number FROM e) GROUP BY ALL),
@@ -162,6 +167,26 @@ SELECT doc_id, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS IN
     "heading_strip": r"SELECT doc_id, sha256(regexp_replace(trim('## ' || source || chr(10) || chr(10) || text), '^##\s+[^\n]+\n+', '')) AS body_sha256 FROM documents",
     "dash_count": "SELECT doc_id, CAST(len(string_split(t, '---')) - 1 + len(string_split(t, ' -- ')) - 1 AS INT) AS n FROM (SELECT doc_id, replace(replace(text, ', ', ' -- '), '. ', '---') AS t FROM documents)",
     "word_count": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s]+')) AS INT) AS n_words FROM documents",
-    "arity_summary": M2 + ", q AS (SELECT domain, scaffold, avg(r) AS obs FROM (SELECT domain, scaffold, profile_id, max(score) - min(score) AS r FROM v GROUP BY ALL) GROUP BY ALL) SELECT round(min(obs), 6) AS lowest, round(max(obs), 6) AS highest, round(avg(obs), 6) AS mean, count(*) FILTER (obs > 3.5) AS above FROM q",
+    "arity_observed_summary": M2 + ", q AS (SELECT domain, scaffold, avg(r) AS obs FROM (SELECT domain, scaffold, profile_id, max(score) - min(score) AS r FROM v GROUP BY ALL) GROUP BY ALL) SELECT round(min(obs), 6) AS lowest, round(max(obs), 6) AS highest, round(avg(obs), 6) AS mean, count(*) FILTER (obs > 3.5) AS above FROM q",
     "report_cells": M1 + CELLS + "SELECT domain, scaffold, model, round(cfr, 6) AS cfr, round(masd, 6) AS masd, round(disparity, 6) AS disparity FROM c JOIN dd USING (domain, scaffold, model)",
+    "arity_naive_ratio": M2 + NAIVE + "SELECT cell, round(obs, 6) AS obs, old_floor, round(old_ratio, 6) AS old_ratio FROM nr",
+    "arity_naive_summary": M2 + NAIVE + "SELECT round(min(old_ratio), 6) AS lowest, round(max(old_ratio), 6) AS highest, round(avg(old_ratio), 6) AS mean, count(*) FILTER (old_ratio > 1) AS above_floor, count(old_ratio) AS n_cells FROM nr",
+    "substring_bias": M2 + f""", nm AS (SELECT k.*, sca.scaffold, instruction, grp."group", CASE WHEN doc_id % 2 = 0 THEN upper("group"[1]) || substr(split_part("group", '_', 1), 2) || ' ' || upper(split_part("group", '_', 2)[1]) || substr(split_part("group", '_', 2), 2) ELSE pool[(doc_id % 5) + 1] END AS name FROM k, sca, grp WHERE sca.scaffold <> 'C4'),
+lo AS (SELECT *, lower(task || ' ' || instruction || chr(10) || chr(10) || subject || ' name: ' || name || chr(10) || 'Profile for' || body) AS pl FROM nm),
+sc AS (SELECT *, CAST(greatest(0, least(100, base + {_hit("black_female", -25)} + {_hit("hispanic_male", 10)})) AS DOUBLE) AS score FROM lo)
+SELECT profile_id, domain, scaffold, "group", name, score, score >= 50 AS action FROM sc""",
+    "first_score_field": "SELECT doc_id, (doc_id % 101)::DOUBLE + CASE WHEN doc_id % 4 = 3 THEN 0.5 ELSE 0 END AS score FROM documents",
+    "model_key_map": f"SELECT CASE m {_pinned} ELSE m END AS model, count(*) AS n FROM (SELECT ['haiku', 'sonnet', 'opus', 'gpt-4o', 'other'][(doc_id % 5) + 1] AS m FROM documents) GROUP BY 1",
+    "cell_labels": M1 + """SELECT DISTINCT substr(domain, 1, 3) || '-' || scaffold AS cell, "group", replace("group", '_', '-') AS dashed, lower(replace("group", '_', ' ')) AS spaced FROM d""",
+    "c4_tool_table": M1 + _RATE.format("tool") + "SELECT domain, scaffold, model, round(max(rate) - min(rate), 6) AS disparity FROM r WHERE scaffold = 'C4' GROUP BY ALL",
+    "all_verified": "SELECT o_custkey, bool_and(o_orderstatus = 'F') AS all_verified FROM orders GROUP BY o_custkey",
+    "clean_gate": f"""WITH e AS (SELECT doc_id, text, CASE WHEN length(text) % 2 = 1 THEN {EDITED} ELSE text END AS edited FROM documents WHERE text <> '')
+SELECT doc_id, sha256(edited) AS text_sha256 FROM e WHERE list_sort(regexp_extract_all(text, '[0-9]+(?:\\.[0-9]+)?')) = list_sort(regexp_extract_all(edited, '[0-9]+(?:\\.[0-9]+)?'))""",
+    "contrast_details": M1 + WILCOXON + MCNEMAR + """, ra AS (SELECT domain, scaffold, model, "group", avg(CAST(action AS INT)) AS rate FROM d WHERE action IS NOT NULL GROUP BY ALL),
+rt AS (SELECT domain, scaffold, model, "group", avg(CAST(tool AS INT)) AS rate FROM d WHERE tool IS NOT NULL GROUP BY ALL),
+pw AS (SELECT domain, scaffold, model, "group", avg(CAST(action <> ref_action AS INT)) FILTER (action IS NOT NULL AND ref_action IS NOT NULL) AS flip_rate, avg(abs(score - ref_score)) FILTER (score IS NOT NULL AND ref_score IS NOT NULL) AS diff FROM p GROUP BY ALL)
+SELECT mc.domain, mc.scaffold, mc.model, mc."group", b, c, wp.n AS n_nonzero, w, round(z, 6) AS z, round(flip_rate, 6) AS flip_rate, round(diff, 6) AS mean_abs_diff,
+  round((SELECT rate FROM ra f WHERE f.domain = mc.domain AND f.scaffold = mc.scaffold AND f.model = mc.model AND f."group" = 'white_male') - ra.rate, 6) AS action_gap,
+  round(rt.rate - (SELECT rate FROM rt f WHERE f.domain = mc.domain AND f.scaffold = mc.scaffold AND f.model = mc.model AND f."group" = 'white_male'), 6) AS tool_gap
+FROM mc JOIN wp USING (domain, scaffold, model, "group") JOIN pw USING (domain, scaffold, model, "group") LEFT JOIN ra USING (domain, scaffold, model, "group") LEFT JOIN rt USING (domain, scaffold, model, "group")""",
 }

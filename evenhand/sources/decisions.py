@@ -35,14 +35,15 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("profile_id"), _pick(("hiring", "lending", "triage"), F.col("doc_id") % 3).alias("domain"), F.col("text").alias("content"), "doc_id")
 
 
-def groups(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, g, S.NAMES[g]) for i, g in enumerate(GROUPS)], "group_ord int, `group` string, pool array<string>")
+def groups(spark: SparkSession, pools: dict[str, list[str]] | None = None) -> DataFrame:
+    pools = S.NAMES if pools is None else pools
+    return spark.createDataFrame([(i, g, pools.get(g, [])) for i, g in enumerate(GROUPS)], "group_ord int, `group` string, pool array<string>")
 
 
-def grid(base: DataFrame, codes: tuple[str, ...] = ("C0", "C2", "C3")) -> DataFrame:
+def grid(base: DataFrame, codes: tuple[str, ...] = ("C0", "C2", "C3"), pools: dict[str, list[str]] | None = None) -> DataFrame:
     """Each profile with every scaffold and group. Both are fixed tables of a few rows, sent to all tasks."""
     spark = base.sparkSession
-    return base.crossJoin(F.broadcast(S.scaffolds(spark, codes))).crossJoin(F.broadcast(groups(spark)))
+    return base.crossJoin(F.broadcast(S.scaffolds(spark, codes))).crossJoin(F.broadcast(groups(spark, pools)))
 
 
 def hashed_name(seed: int = SEED) -> Column:
@@ -59,15 +60,32 @@ def seeded_names(ids: list[str], pools: dict[str, list[str]], seed: int = SEED)
     return [(i, g, draw.choice(pools[g]) if pools.get(g) else g) for i in ids for g in GROUPS]
 
 
-def mock(base: DataFrame, codes: tuple[str, ...] = ("C0", "C2", "C3"), bias: dict[str, float] | None = None, threshold: float = 50.0) -> DataFrame:
-    """Mock decisions of the whole grid. The text is hashed once a profile, before the grid multiplies its rows."""
-    scored = base.join(F.broadcast(S.domains(base.sparkSession)), "domain").withColumn("base", S.mock_score(S.prompt_body()))
+def mock(
+    base: DataFrame, codes: tuple[str, ...] = ("C0", "C2", "C3"), bias: dict[str, float] | None = None, threshold: float = 50.0,
+    name: Column | None = None, by_prompt: bool = False, pools: dict[str, list[str]] | None = None, model: str = "mock",
+) -> DataFrame:
+    """Mock decisions of the whole grid. The text is hashed once a profile, before the grid multiplies its rows.
+
+    ``bias`` moves the scores of a group; with ``by_prompt``, of every prompt that has the group's label in it, with blanks
+    or underscores. A body is searched once a profile, and a row of the grid adds what stands before it.
+    """
+    bias = bias or {}
+    body = S.prompt_body()
+    longest = max(map(len, bias), default=0)
+    within = lambda text, g: F.contains(text, F.lit(g.replace("_", " "))) | F.contains(text, F.lit(g))
+    found = [within(F.lower(body), g).alias(f"_in{i}") for i, g in enumerate(bias)] if by_prompt else []
+    head = ["subject", "task", F.lower(F.substring(body, 1, longest)).alias("_start")] if by_prompt else []
+    scored = S.with_domain(base).select("profile_id", "domain", "doc_id", S.mock_score(body).alias("base"), *found, *head)
+    out = grid(scored, codes, pools).withColumn("name", hashed_name() if name is None else name)
+    if by_prompt:
+        out = out.withColumn("_head", F.concat(F.lower(S.prompt_head()), "_start"))
     delta = F.lit(0.0)
-    for group, d in (bias or {}).items():
-        delta = delta + F.when(F.col("group") == group, F.lit(float(d))).otherwise(0.0)
+    for i, (group, d) in enumerate(bias.items()):
+        hit = F.col(f"_in{i}") | within(F.col("_head"), group) if by_prompt else F.col("group") == group
+        delta = delta + F.when(hit, F.lit(float(d))).otherwise(0.0)
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") + delta))
-    out = grid(scored.select("profile_id", "domain", "doc_id", "base"), codes).withColumn("score", score).withColumn("model", F.lit("mock"))
-    return out.select("profile_id", "domain", "scaffold", "model", "group", hashed_name().alias("name"), (F.col("score") >= threshold).alias("action"), "score", F.when(F.col("has_tool"), F.lit(False)).alias("tool_request"), (F.col("doc_id") * 6 + F.col("group_ord")).alias("ord"))
+    out = out.withColumn("score", score).withColumn("model", F.lit(model))
+    return out.select("profile_id", "domain", "scaffold", "model", "group", "name", (F.col("score") >= threshold).alias("action"), "score", F.when(F.col("has_tool"), F.lit(False)).alias("tool_request"), (F.col("doc_id") * 6 + F.col("group_ord")).alias("ord"))
 
 
 def varied(base: DataFrame, salt: str = "first", codes: tuple[str, ...] = ("C0", "C2", "C3")) -> DataFrame:
