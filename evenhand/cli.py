@@ -1,17 +1,18 @@
-"""python -m evenhand.cli run | report | cost"""
+"""python -m evenhand.cli run | report | cost | board | arity | retest"""
 
 from __future__ import annotations
 
 import argparse
+import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scenarios as S
-from .operators import replay
+from .operators import anova, panel, replay
 from .plans import report
 from .schema import GROUPS, SEED
-from .sources import decisions, files
+from .sources import adapters, decisions, files
 
 
 def _session() -> SparkSession:
@@ -20,29 +21,68 @@ def _session() -> SparkSession:
     return spark
 
 
-def _profiles(spark: SparkSession, path: str):
+def _profiles(spark: SparkSession, path: str) -> DataFrame:
     rows = files.profiles(spark, path)
     return rows.select(F.col("id").alias("profile_id"), "domain", "content", F.xxhash64("id").alias("doc_id"))
 
 
+def _pools(spark: SparkSession, path: str | None) -> dict[str, list[str]] | None:
+    """The name pools of a file, a few names a group; None stands for the built-in ones."""
+    if path is None:
+        return None
+    pools: dict[str, list[str]] = {}
+    for r in files.name_pools(spark, path).where("name is not null").orderBy("group", "pos").collect():
+        pools.setdefault(r["group"], []).append(r["name"])
+    return pools
+
+
+def _bias(given: list[str]) -> dict[str, float]:
+    """GROUP=DELTA pairs, or one JSON object."""
+    if len(given) == 1 and given[0].lstrip().startswith("{"):
+        return {g: float(d) for g, d in json.loads(given[0]).items()}
+    return {g: float(d) for g, _, d in (b.partition("=") for b in given)}
+
+
+def _asked(spark: SparkSession, args, pools) -> DataFrame:
+    """Decisions of a chat server over the whole grid."""
+    rows = decisions.grid(S.with_domain(_profiles(spark, args.profiles)), tuple(args.scaffolds), pools).withColumn("name", decisions.hashed_name(args.seed))
+    rows = rows.select(*replay.KEY, "name", "action_name", "score_name", S.prompt().alias("prompt"), S.decision_schema().alias("schema"))
+    got = adapters.decide(rows, adapters.chat_completions(args.model, args.base_url)).withColumn("model", F.lit(args.model))
+    return got.withColumns(S.parse(F.col("decision"), F.col("action_name"), F.col("score_name"))).withColumn("raw", F.col("decision")).drop("prompt", "schema", "action_name", "score_name", "decision")
+
+
+def _reported(made: DataFrame, args) -> None:
+    doc = report.document(report.build(made, args.n_boot, args.seed, args.mode))
+    report.write(doc, f"{args.out}_report.json")
+    print(f"{doc['n_records']} decisions -> {args.out}_report.json\n{report.summary(doc)}")
+
+
 def run(args) -> None:
-    """Mock decisions of the whole grid, written as traces and reported."""
+    """Decisions of the whole grid, by the mock or a chat server, written as traces and reported."""
     spark = _session()
-    bias = {g: float(d) for g, _, d in (b.partition("=") for b in args.bias)}
-    made = decisions.mock(_profiles(spark, args.profiles), tuple(args.scaffolds), bias)
+    pools = _pools(spark, args.names)
+    if args.adapter == "chat":
+        if not args.model:
+            raise SystemExit("--adapter chat needs --model")
+        report.write_raw(_asked(spark, args, pools), f"{args.out}_raw")
+        return _replay(spark, args, f"{args.out}_raw", args.model)  # a server is asked once: the report reads the traces
+    name = decisions.hashed_name(args.seed)
+    made = decisions.mock(_profiles(spark, args.profiles), tuple(args.scaffolds), _bias(args.bias), name=name, by_prompt=args.bias_by_prompt, pools=pools, model=args.model or "mock")
     made = made.withColumn("ord", F.xxhash64("profile_id", "scaffold", "group"))
     report.write_raw(made, f"{args.out}_raw")
-    report.write(report.document(report.build(made, args.n_boot, args.seed, args.mode)), f"{args.out}_report.json")
+    _reported(made, args)
+
+
+def _replay(spark: SparkSession, args, raw: str, model: str) -> None:
+    grid = decisions.grid(_profiles(spark, args.profiles).drop("content"), tuple(args.scaffolds), _pools(spark, args.names)).select(*replay.KEY, decisions.hashed_name(args.seed).alias("name"))
+    held = replay.latest(decisions.trace(spark, raw, model).select(*replay.KEY, "ord", "score", "action", "tool_request"))
+    full = grid.join(held, replay.KEY, "left").withColumn("model", F.lit(model)).withColumn("ord", F.coalesce("ord", F.lit(0)))
+    _reported(full, args)
 
 
 def replayed(args) -> None:
     """The expected grid with the decisions of a trace."""
-    spark = _session()
-    grid = decisions.grid(_profiles(spark, args.profiles).drop("content"), tuple(args.scaffolds)).select(*replay.KEY, decisions.hashed_name(args.seed).alias("name"))
-    raw = decisions.trace(spark, args.raw, args.model)
-    held = replay.latest(raw.select(*replay.KEY, "ord", "score", "action", "tool_request"))
-    full = grid.join(held, replay.KEY, "left").withColumn("model", F.lit(args.model)).withColumn("ord", F.coalesce("ord", F.lit(0)))
-    report.write(report.document(report.build(full, args.n_boot, args.seed, args.mode)), f"{args.out}_report.json")
+    _replay(_session(), args, args.raw, args.model)
 
 
 def cost(args) -> None:
@@ -51,6 +91,26 @@ def cost(args) -> None:
     replay.cost(spark.createDataFrame(plan, "model string, scaffold string, n_calls long")).orderBy("model").show(truncate=False)
 
 
+def board(args) -> None:
+    """The leaderboard of report files."""
+    report.write_board(files.reports(_session(), args.reports), args.out)
+
+
+def arity(args) -> None:
+    """The arity-matched report of a trace."""
+    raw = decisions.trace(_session(), args.raw, args.model).where(F.col("scaffold").isin("C0", "C2", "C3"))
+    print(report.write_arity(panel.arity_report(anova.complete(raw), args.n_sim), f"{args.out}.json"))
+
+
+def retest(args) -> None:
+    """Test-retest reliability of two traces."""
+    spark = _session()
+    text = report.reliability(*[decisions.trace(spark, p, args.model) for p in args.raw])
+    with open(f"{args.out}.md", "w") as f:
+        f.write(text)
+    print(text)
+
+
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="evenhand")
     verbs = parser.add_subparsers(required=True)
@@ -64,15 +124,35 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--n-groups", type=int, default=len(GROUPS))
             continue
         p.add_argument("--profiles", required=True)
+        p.add_argument("--names", help="JSON file of name pools; without it, the built-in ones")
         p.add_argument("--out", default="evenhand")
         p.add_argument("--seed", type=int, default=SEED)
         p.add_argument("--n-boot", type=int, default=2000)
         p.add_argument("--mode", choices=["distinct", "multiset"], default="distinct")
         if name == "run":
-            p.add_argument("--bias", nargs="*", default=[], metavar="GROUP=DELTA")
+            p.add_argument("--adapter", choices=["mock", "chat"], default="mock")
+            p.add_argument("--model")
+            p.add_argument("--base-url")
+            p.add_argument("--bias", nargs="*", default=[], metavar="GROUP=DELTA", help="or one JSON object")
+            p.add_argument("--bias-by-prompt", action="store_true", help="move the scores of prompts that name the group")
         else:
             p.add_argument("--raw", required=True)
             p.add_argument("--model", required=True)
+    p = verbs.add_parser("board")
+    p.set_defaults(func=board)
+    p.add_argument("--reports", required=True, help="path or pattern of report files")
+    p.add_argument("--out", default="leaderboard")
+    p = verbs.add_parser("arity")
+    p.set_defaults(func=arity)
+    p.add_argument("--raw", required=True)
+    p.add_argument("--model")
+    p.add_argument("--n-sim", type=int, default=20_000)
+    p.add_argument("--out", default="arity")
+    p = verbs.add_parser("retest")
+    p.set_defaults(func=retest)
+    p.add_argument("--raw", nargs=2, required=True)
+    p.add_argument("--model")
+    p.add_argument("--out", default="reliability")
     args = parser.parse_args(argv)
     args.func(args)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import subprocess
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,11 +64,19 @@ def sections(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reports(spark: SparkSession, path: str) -> DataFrame:
-    """Cells of report files: one row a (file, cell), with the numbers that the leaderboard needs."""
+    """Cells of report files, nested or flat: one row a (file, cell), with the numbers that the leaderboard needs."""
     whole = _whole(spark, path).select("file", F.get_json_object("value", "$.n_records").cast("long").alias("n_records"), F.explode(F.from_json(F.get_json_object("value", "$.cells"), "map<string,string>")).alias("cell", "c"))
     at = lambda p, kind, n: F.get_json_object("c", f"$.{p}").cast(kind).alias(n)
-    return whole.select("file", "n_records", "cell", at("model", "string", "model"), at("domain", "string", "domain"), at("scaffold", "string", "scaffold"), at("CFR.CFR", "double", "cfr"), at("MASD.MASD", "double", "masd"), at("rate_disparity.disparity", "double", "disparity"))
+    either = lambda p, flat, n: F.coalesce(*[F.get_json_object("c", f"$.{x}").try_cast("double") for x in (p, flat)]).alias(n)
+    return whole.select("file", "n_records", "cell", at("model", "string", "model"), at("domain", "string", "domain"), at("scaffold", "string", "scaffold"), either("CFR.CFR", "cfr", "cfr"), either("MASD.MASD", "masd", "masd"), either("rate_disparity.disparity", "rate_disparity", "disparity"))
 
 
 def arity_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema("cell string, obs double, old_floor double, old_ratio double, null_mean double, new_ratio double, p_arity double, F_group double, p_group double").json(path)
+
+
+def committed(spark: SparkSession, repository: str, files: dict[str, str], ref: str = "HEAD") -> DataFrame:
+    """(key, text) of files as a commit holds them; a file that it lacks has an empty text. For a few documents: git runs on the driver."""
+    show = lambda path: subprocess.run(["git", "show", f"{ref}:{path}"], cwd=repository, capture_output=True, text=True)
+    got = {key: show(path) for key, path in files.items()}
+    return spark.createDataFrame([(k, r.stdout if r.returncode == 0 else "") for k, r in got.items()], "key string, text string")
