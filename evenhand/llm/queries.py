@@ -10,8 +10,10 @@ from . import bpe as _bpe
 from . import fingerprints as _fingerprints
 from . import licenses as _licenses
 from . import line_dedup as _line_dedup
+from . import middle as _middle
 from . import mixing as _mixing
 from . import near_dedup as _near_dedup
+from . import resampling as _resampling
 from . import suffix_dedup as _suffix_dedup
 from . import toxicity as _toxicity
 from . import url_filter as _url_filter
@@ -75,9 +77,57 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann.search(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_toxicity, op5_licenses, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    made = _middle.fill_in_middle(docs, rate=90, swapped=20, seed="1")
+    back = _middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark")
+    return _resampling.resample(docs, target, percent=25, least_words=20, seed="7").select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_toxicity, op5_licenses, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest, op12_fill_in_middle, op13_importance)}
 
 ORACLES = {
+    "op12_fill_in_middle": r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+g AS (SELECT *, CAST(len(u) AS BIGINT) AS n, list_transform([0, 1, 2, 3], lambda i: CAST('0x' || substr(h, 1 + 8 * CAST(i AS INT), 8) AS BIGINT)) AS r FROM d),
+f AS (SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+             CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR r[3] % 100 >= 90 THEN 'plain'
+                  WHEN r[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM g),
+p AS (SELECT *, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:n], '') AS suf FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256 FROM p""",
+    "op13_importance": r"""
+WITH RECURSIVE crc(i, v, k) AS (
+  SELECT range, CAST(range AS BIGINT), 0 FROM range(256) UNION ALL
+  SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, CAST(3988292384 AS BIGINT)) ELSE v >> 1 END, k + 1 FROM crc WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM crc WHERE k = 8),
+raw AS (SELECT 0 AS src, row_number() OVER () AS row, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), item_id, text FROM benchmark),
+w AS (SELECT src, row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM raw),
+e AS (SELECT src, row, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[CAST(i AS INT)] || ' ' || ws[CAST(i AS INT) + 1]))) AS f FROM w),
+c AS (SELECT src, row, f, count(*) AS n FROM e GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM c)),
+b AS (SELECT f, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(CAST(length(x) / 2 AS BIGINT)), lambda j: CAST('0x' || substr(x, 1 + 2 * CAST(j AS INT), 2) AS BIGINT))),
+                         lambda a, y: xor(a >> 8, t[CAST(xor(a & 255, y) AS INT) + 1])), CAST(4294967295 AS BIGINT)) % 10000 AS bucket FROM h, tab),
+n AS (SELECT range AS bucket, CAST(coalesce(s, 0) AS BIGINT) AS s, CAST(coalesce(t, 0) AS BIGINT) AS t FROM range(10000) LEFT JOIN
+      (SELECT bucket, sum(n) FILTER (src = 0) AS s, sum(n) FILTER (src = 1) AS t FROM c JOIN b USING (f) GROUP BY bucket) ON range = bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln(CAST(t + 1 AS DOUBLE) * CAST(sum(s) OVER () + 10000 AS DOUBLE) / (CAST(s + 1 AS DOUBLE) * CAST(sum(t) OVER () + 10000 AS DOUBLE)))) AS BIGINT) AS gain FROM n),
+d AS (SELECT row, CAST(sum(c.n) AS BIGINT) AS n_features, CAST(sum(c.n * gain) AS BIGINT) AS total FROM c JOIN b USING (f) JOIN g USING (bucket) WHERE src = 0 GROUP BY row),
+z AS (SELECT w.doc_id, len(ws) AS words, coalesce(n_features, 0) AS n_features,
+             coalesce(CASE WHEN total >= 0 THEN total // n_features ELSE -((-total + n_features - 1) // n_features) END, 0) AS weight,
+             CAST('0x' || substr(sha256('7:' || coalesce(CAST(w.doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN d USING (row) WHERE src = 0),
+q AS (SELECT *, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST(h AS DOUBLE) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM z),
+r AS (SELECT *, row_number() OVER (PARTITION BY words >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features, words) AS rn, count(*) OVER (PARTITION BY words >= 20) AS many FROM q)
+SELECT doc_id, CAST(n_features AS BIGINT) AS n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN words >= 20 AND rn <= 25 * many // 100 THEN CAST(rn AS BIGINT) END AS rank FROM r""",
     "op3_mixing": r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
