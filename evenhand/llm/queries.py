@@ -14,6 +14,7 @@ from . import middle as _middle
 from . import mixing as _mixing
 from . import near_dedup as _near_dedup
 from . import resampling as _resampling
+from . import site_tree as _site_tree
 from . import suffix_dedup as _suffix_dedup
 from . import toxicity as _toxicity
 from . import url_filter as _url_filter
@@ -77,6 +78,10 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ann.search(read(spark, sf_dir, "embeddings"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _site_tree.extract(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     made = _middle.fill_in_middle(docs, rate=90, swapped=20, seed="1")
@@ -89,7 +94,7 @@ def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resampling.resample(docs, target, percent=25, least_words=20, seed="7").select("doc_id", "n_features", "weight", "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_toxicity, op5_licenses, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest, op12_fill_in_middle, op13_importance)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_line_dedup, op3_mixing, op4_toxicity, op5_licenses, op6_url_filter, op7_near_duplicates, op8_fingerprints, op9_bpe, op10_nearest, op11_main_text, op12_fill_in_middle, op13_importance)}
 
 ORACLES = {
     "op12_fill_in_middle": r"""
