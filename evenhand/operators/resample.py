@@ -1,22 +1,37 @@
-"""Resampling: bootstrap intervals of a cell's mean and the arity-matched null.
+"""Resampling: bootstrap intervals of any statistic of summed columns, and the arity-matched null.
 
-Only one number a set, or one residual a decision, reaches Python; each cell's simulations run in bounded chunks.
+A cell's sets are dealt into blocks of bounded size. For each replicate a binomial tree splits the cell's draws among its
+blocks, so a block draws from its own sets alone, and its sums are added to those of the others in the shuffle. The null
+draws from a table of the residuals' distribution, in as many tasks as its draws need.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import CELL, SEED
+from ..functions import stats
+from ..schema import CELL, GROUPS, REFERENCE, SEED
+from ..shared import beside
 from ..workers import ship
+from . import ordered
 
 #: Numbers drawn at a time.
 CHUNK = 4_000_000
+#: Sets that are drawn from in one task; a cell of no more than that is one block and has the draws of ``interval``.
+BLOCK = 4096
+#: Entries of a table of residuals. Cells of more residuals have a range of equal count in each.
+TABLE = 1 << 16
+#: Numbers that a task of the null draws.
+TASK = 250_000_000
+
+#: Summed columns by name -> a figure; null where it is not defined.
+Statistic = Callable[[dict[str, Column]], Column]
 
 
 def _draws(values: np.ndarray, n_boot: int, seed: int, mode: str) -> np.ndarray:
@@ -60,44 +75,224 @@ def interval(values: np.ndarray, n_boot: int = 2000, seed: int = SEED, mode: str
     return {"point": point, "lo": float(np.quantile(boot, at[0])), "hi": float(np.quantile(boot, at[1])), "method": "BCa", "z0": z0, "a": a}
 
 
-def bootstrap(values: DataFrame, n_boot: int = 2000, seed: int = SEED, mode: str = "distinct", bca: bool = True) -> DataFrame:
-    """(cell, profile_id, value) -> one interval a cell. Sets are ordered by profile, so reruns and partitions agree."""
+def _counts(rng: np.random.Generator, draws: np.ndarray, n: int) -> np.ndarray:
+    """How often each of ``n`` sets is drawn in each replicate, if replicate i draws ``draws[i]`` times."""
+    replicate = np.repeat(np.arange(len(draws)), draws)
+    return np.bincount(replicate * n + rng.integers(0, n, len(replicate)), minlength=len(draws) * n).reshape(len(draws), n)
+
+
+def _block_draws(n_boot: int, path: list[tuple[int, int]], seed: list[int], block: int, levels: int) -> np.ndarray:
+    """Draws that fall into a block: at each node on the way to it a binomial share of those above.
+
+    ``path`` has the sizes (of the node, of its first half) from the cell down. Blocks of a cell make the same draws at the
+    nodes that they share, so their counts add up to the cell's sets in every replicate.
+    """
+    draws = np.full(n_boot, path[0][0], np.int64)
+    for level, (size, first) in enumerate(path[:levels]):
+        node = block >> (levels - level)
+        left = np.random.default_rng([*seed, level, node]).binomial(draws, first / size if size else 0.0)
+        draws = draws - left if block >> (levels - level - 1) & 1 else left
+    return draws
 
+
+def replicates(values: DataFrame, columns: list[str], n_boot: int = 2000, seed: int = SEED, mode: str = "distinct", by: list[str] = CELL, block: int = BLOCK) -> DataFrame:
+    """(``by``, profile_id, columns) -> (``by``, replicate, columns): sums over the sets that each replicate draws.
+
+    As many sets are drawn as ``by`` has, with replacement; ``distinct`` counts a drawn set once, ``multiset`` as often as it
+    is drawn. A cell of up to ``block`` sets draws them in order of profile as ``interval`` does; a larger one is dealt by a
+    hash of the profile into blocks of about half that. Which rows share a partition changes nothing but the order in
+    which blocks are added.
+    """
     ship(values.sparkSession)
+    levels = F.when(F.count(F.lit(1)) <= block, 0).otherwise(F.ceil(F.log2(F.count(F.lit(1)) / block)) + 1).cast("int")
+    rows = beside(values.select(*by, "profile_id", *columns), values.groupBy(*by).agg(levels.alias("levels")), by)
+    at = F.when(F.col("levels") == 0, F.lit(0)).otherwise(F.expr("shiftrightunsigned(_hash, 64 - levels)"))
+    rows = rows.withColumn("_hash", F.xxhash64(F.lit(seed), "profile_id")).withColumn("block", at.cast("long")).drop("_hash")
+
+    # sizes of the tree's nodes: a row a block and level, each a sum over a few numbers
+    steps = rows.groupBy(*by, "levels", "block").agg(F.count(F.lit(1)).alias("n")).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels"))))
+    steps = steps.withColumn("node", F.expr("shiftright(block, levels - level)"))
+    left = F.expr("level < levels and (shiftright(block, levels - level - 1) & 1) = 0")
+    nodes = steps.groupBy(*by, "level", "node").agg(F.sum("n").alias("whole"), F.coalesce(F.sum(F.when(left, F.col("n"))), F.lit(0)).alias("half"))
+    paths = beside(steps, nodes, [*by, "level", "node"]).groupBy(*by, "block").agg(F.sort_array(F.collect_list(F.struct("level", "whole", "half"))).alias("path"))
+    rows = beside(rows, paths.withColumn("path", F.transform("path", lambda x: F.array(x["whole"], x["half"]))), [*by, "block"])
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        got = interval(frame.sort_values("profile_id").value.to_numpy(float, na_value=np.nan), n_boot, seed, mode, bca=bca)
-        return pd.DataFrame([{**{c: frame[c].iloc[0] for c in CELL}, **got, "n_sets": int(frame.value.notna().sum())}])
+        frame = frame.sort_values("profile_id")
+        x = np.nan_to_num(frame[columns].to_numpy(float, na_value=np.nan))
+        levels, at, n = int(frame.levels.iloc[0]), int(frame.block.iloc[0]), len(frame)
+        key = [seed] if not levels else [seed, *"|".join(str(frame[c].iloc[0]) for c in by).encode()]
+        draws = _block_draws(n_boot, [tuple(map(int, p)) for p in frame.path.iloc[0]], key, at, levels)
+        rng = np.random.default_rng(seed if not levels else [*key, levels, at])
+        sums, step = np.empty((n_boot, len(columns))), max(1, CHUNK // max(1, n))
+        for i in range(0, n_boot, step):
+            times = _counts(rng, draws[i : i + step], n)
+            sums[i : i + step] = (times > 0 if mode == "distinct" else times) @ x
+        return pd.DataFrame({**{c: [frame[c].iloc[0]] * n_boot for c in by}, "replicate": np.arange(n_boot), **dict(zip(columns, sums.T, strict=True))})
 
-    schema = "domain string, scaffold string, model string, point double, lo double, hi double, method string, z0 double, a double, n_sets long"
-    return values.select(*CELL, "profile_id", "value").groupBy(*CELL).applyInPandas(run, schema)
+    kept = [values.schema[c] for c in by]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in kept], "replicate int", *[f"`{c}` double" for c in columns]])
+    sums = rows.groupBy(*by, "block").applyInPandas(run, schema)
+    return sums.groupBy(*by, "replicate").agg(*[F.sum(c).alias(c) for c in columns])
 
 
-def arity_null(wide: DataFrame, n_sim: int = 20_000, seed: int = SEED) -> DataFrame:
-    """(domain, scaffold, profile_id, scores) of complete sets -> observed mean range, its null, their ratio and p.
+def _quantile(ordered_values: Column, share: Column) -> Column:
+    """Of sorted values, by linear interpolation."""
+    at = share * (F.size(ordered_values) - 1)
+    low = F.floor(at).cast("int")
+    below, above = F.get(ordered_values, low), F.get(ordered_values, F.least(low + 1, F.size(ordered_values) - 1))
+    return below + (above - below) * (at - low)
+
+
+def intervals(
+    values: DataFrame, columns: list[str], statistics: dict[str, Statistic], n_boot: int = 2000, seed: int = SEED, mode: str = "distinct", by: list[str] = CELL, level: float = 0.95, bca: bool = True, block: int = BLOCK
+) -> DataFrame:
+    """(``by``, profile_id, columns) -> (``by``, statistic, point, lo, hi, method, z0, a, n_boot), a row a cell and statistic.
+
+    A statistic is an expression of the columns' sums, such as a ratio, a difference of ratios or an effect size. All of them
+    share a cell's draws. BCa, unless all replicates lie on one side of the point; replicates without the figure fall
+    away. The jackknife leaves out one set at a time, in one pass over the sets: its moments are sums of powers.
+    """
+    values = values.select(*by, "profile_id", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    names = list(statistics)
+    totals = values.groupBy(*by).agg(*[F.sum(c).alias(f"_{c}") for c in columns], F.count(F.lit(1)).alias("_n"))
+    points = totals.withColumns({f"_point{i}": f({c: F.col(f"_{c}") for c in columns}) for i, f in enumerate(statistics.values())})
+
+    of_cell = [f"_point{i}" for i in range(len(names))]
+    left_out = beside(values, points.select(*by, *[f"_{c}" for c in columns], *of_cell), by)
+    moments = []
+    for i, f in enumerate(statistics.values()):
+        d = f({c: F.col(f"_{c}") - F.col(c) for c in columns}) - F.col(f"_point{i}")
+        left_out = left_out.withColumn(f"_d{i}", d)
+        moments += [F.count(f"_d{i}").alias(f"_s0{i}"), *[F.sum(F.pow(F.col(f"_d{i}"), F.lit(float(p)))).alias(f"_s{p}{i}") for p in (1, 2, 3)]]
+    each = beside(left_out.groupBy(*by).agg(*moments), points.select(*by, *of_cell), by)
+    fields = lambda i: F.struct(F.lit(names[i]).alias("statistic"), *[F.col(f"_{x}{i}").alias(x) for x in ("point", "s0", "s1", "s2", "s3")])
+    jack = each.select(*by, F.explode(F.array(*[fields(i) for i in range(len(names))])).alias("j")).select(*by, "j.*")
+
+    drawn = replicates(values, columns, n_boot, seed, mode, by, block)
+    found = F.explode(F.array(*[F.struct(F.lit(n).alias("statistic"), f({c: F.col(c) for c in columns}).alias("v")) for n, f in statistics.items()]))
+    boots = drawn.select(*by, found.alias("r")).groupBy(*by, F.col("r.statistic").alias("statistic")).agg(F.sort_array(F.collect_list("r.v")).alias("boot"))  # n_boot numbers at most
+    rows = beside(jack, boots, [*by, "statistic"])
+
+    near = F.lit(1e-12) * (F.abs("point") + 1)  # sums of the same numbers in another order are the same figure
+    share = F.size(F.filter("boot", lambda v: v < F.col("point") - near)) / F.size("boot")
+    rows = rows.withColumn("_share", F.when(F.size("boot") > 0, share)).withColumn("z0", F.when((F.col("_share") > 0) & (F.col("_share") < 1) & F.lit(bca), stats.norm_ppf(F.col("_share"))))
+    spread = F.col("s2") - F.col("s1") * F.col("s1") / F.col("s0")
+    third = F.col("s3") - 3 * F.col("s1") * F.col("s2") / F.col("s0") + 2 * F.pow(F.col("s1"), F.lit(3.0)) / (F.col("s0") * F.col("s0"))
+    a = F.when(spread > 1e-30, -third / (6 * F.pow(F.when(spread > 0, spread), F.lit(1.5)))).otherwise(0.0)
+    rows = rows.withColumn("a", F.when(F.col("z0").isNotNull(), F.round(a, 12) + F.lit(0.0)))  # the order of summing shows behind that
+    tail = NormalDist().inv_cdf((1 + level) / 2)
+    adjusted = lambda z: stats.norm_cdf(F.col("z0") + (F.col("z0") + z) / (1 - F.col("a") * (F.col("z0") + z)))
+    bound = lambda z, plain: _quantile(F.col("boot"), F.when(F.col("z0").isNotNull(), adjusted(z)).otherwise(F.lit(plain)))
+    fallback = "percentile-fallback" if bca else "percentile"
+    known = F.col("point").isNotNull() & (F.size("boot") > 0)
+    method = F.when(~known, "percentile").when(F.col("z0").isNotNull(), "BCa").otherwise(fallback)
+    only = lambda c: F.when(known, c)
+    return rows.select(*by, "statistic", "point", only(bound(-tail, (1 - level) / 2)).alias("lo"), only(bound(tail, (1 + level) / 2)).alias("hi"), method.alias("method"), only(F.col("z0")).alias("z0"), only(F.col("a")).alias("a"), F.when(known, F.size("boot")).otherwise(0).alias("n_boot"))
 
-    Residuals of the two-way layout are drawn with replacement into tables of the same shape. Each cell has its own seed.
+
+def ratio(top: str, below: str) -> Statistic:
+    """Null where the sum below is zero."""
+    return lambda c: c[top] / F.when(c[below] != 0, c[below])
+
+
+def bootstrap(values: DataFrame, n_boot: int = 2000, seed: int = SEED, mode: str = "distinct", bca: bool = True, block: int = BLOCK) -> DataFrame:
+    """(cell, profile_id, value) -> one interval of the mean a cell; sets without a value are drawn and add nothing."""
+    summed = values.select(*CELL, "profile_id", F.col("value").alias("v"), F.col("value").isNotNull().cast("double").alias("k"))
+    counts = values.groupBy(*CELL).agg(F.count("value").alias("n_sets"))
+    got = intervals(summed, ["v", "k"], {"mean": ratio("v", "k")}, n_boot, seed, mode, CELL, bca=bca, block=block)
+    return got.join(counts, CELL).select(*CELL, "point", "lo", "hi", "method", "z0", "a", "n_sets")
+
+
+def group_sums(members: DataFrame, groups: tuple[str, ...] = GROUPS) -> tuple[DataFrame, list[str]]:
+    """Last-wins members -> a row a set with four sums a group: true and known actions, true and known tool requests."""
+    columns = {}
+    for i, g in enumerate(groups):
+        own = F.col("group") == g
+        for name in ("action", "tool_request"):
+            columns[f"{name}_true{i}"] = F.count_if(own & F.col(name))
+            columns[f"{name}_known{i}"] = F.count(F.when(own, F.col(name)))
+    return members.groupBy(*CELL, "profile_id").agg(*[c.alias(n) for n, c in columns.items()]), list(columns)
+
+
+def contrast_intervals(members: DataFrame, n_boot: int = 2000, seed: int = SEED, mode: str = "multiset", reference: str = REFERENCE, groups: tuple[str, ...] = GROUPS, block: int = BLOCK) -> DataFrame:
+    """Intervals of the gaps of both rates and of Cohen's h: (cell, group, metric, point, lo, hi, method, z0, a, n_boot).
+
+    Whole sets are drawn, so a set's members stay together. Signs are those of ``disparity.gaps``: reference less group for
+    actions, group less reference for tool use. Members are one a set and group, while the rates of a report count every
+    record: where records repeat, points can differ from its gaps. Contrasts without a known value have no row.
     """
+    values, columns = group_sums(members, groups)
+    r = groups.index(reference)
+    statistics: dict[str, Statistic] = {}
+    for i, g in enumerate(groups):
+        if i != r:
+            rate = lambda c, name, j: c[f"{name}_true{j}"] / F.when(c[f"{name}_known{j}"] > 0, c[f"{name}_known{j}"])
+            statistics[f"action_gap|{g}"] = lambda c, i=i, rate=rate: rate(c, "action", r) - rate(c, "action", i)
+            statistics[f"tool_gap|{g}"] = lambda c, i=i, rate=rate: rate(c, "tool_request", i) - rate(c, "tool_request", r)
+            statistics[f"cohens_h|{g}"] = lambda c, i=i, rate=rate: stats.cohens_h(rate(c, "action", r), rate(c, "action", i))
+    got = intervals(values, columns, statistics, n_boot, seed, mode, block=block).where("point is not null")
+    part = lambda i: F.split("statistic", "[|]")[i]
+    return got.select(*CELL, part(1).alias("group"), part(0).alias("metric"), "point", "lo", "hi", "method", "z0", "a", "n_boot")
+
 
+def residual_table(wide: DataFrame, entries: int = TABLE) -> DataFrame:
+    """(domain, scaffold, profile_id, scores) -> (domain, scaffold, n_profiles, n_groups, low, high): the residuals' distribution.
+
+    Residuals of the two-way layout are ranked by ranges. Up to ``entries`` of them a cell stand each for themselves; more are cut
+    into as many ranges of equal count, of which the table keeps the ends, so a distribution function read from it is off
+    by one in ``entries`` at most.
+    """
+    cell = ["domain", "scaffold"]
+    groups = F.size("scores")
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
+    at = wide.select(*cell, F.posexplode("scores").alias("at", "score")).groupBy(*cell, "at").agg(F.avg("score").alias("mean"), F.count(F.lit(1)).alias("n"))
+    means = at.groupBy(*cell).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "mean"))), lambda x: x["mean"]).alias("col"), F.avg("mean").alias("grand"), F.max("n").alias("n_profiles"))  # a few numbers a cell
+    rows = beside(wide.select(*cell, "scores"), means, cell).withColumn("row", total(F.col("scores")) / groups)
+    rest = F.zip_with("scores", "col", lambda x, m: x - F.col("row") - m + F.col("grand"))
+    ranked = ordered.ranges(rows.select(*cell, "n_profiles", groups.alias("n_groups"), F.explode(rest).alias("rest")), cell, ["rest"])
+    ranked = ordered.running_sum(ranked, cell, ["rest"], F.lit(1), "rank")
+    every = F.col("n_profiles") * F.col("n_groups")
+    entry = F.when(every <= entries, F.col("rank")).otherwise(F.floor(F.col("rank") * F.lit(entries) / every)).cast("long")
+    ends = ranked.groupBy(*cell, "n_profiles", "n_groups", entry.alias("entry")).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    table = ends.groupBy(*cell, "n_profiles", "n_groups").agg(F.sort_array(F.collect_list(F.struct("entry", "low", "high"))).alias("t"))  # ``entries`` at most
+    return table.select(*cell, "n_profiles", "n_groups", F.transform("t", lambda x: x["low"]).alias("low"), F.transform("t", lambda x: x["high"]).alias("high"))
+
+
+def arity_null(wide: DataFrame, n_sim: int = 20_000, seed: int = SEED, entries: int = TABLE, task: int = TASK) -> DataFrame:
+    """(domain, scaffold, profile_id, scores) of complete sets -> observed mean range, its null, their ratio and p.
+
+    Tables of the same shape are filled with residuals drawn with replacement. A task fills the rows of some profiles in all
+    ``n_sim`` tables, ``task`` numbers or so, and the sums of their ranges are added up; cell and part seed the draws.
+    """
     ship(wide.sparkSession)
+    cell = ["domain", "scaffold"]
+    n_parts = F.greatest(F.lit(1), F.ceil(F.col("n_profiles") * F.col("n_groups") * F.lit(float(n_sim)) / task)).cast("int")
+    parts = residual_table(wide, entries).withColumn("n_parts", n_parts).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame.sort_values("profile_id").scores.to_numpy()).astype(float)
-        rest = (x - x.mean(1, keepdims=True) - x.mean(0) + x.mean()).ravel()
-        rest -= rest.mean()
-        domain, scaffold = frame.domain.iloc[0], frame.scaffold.iloc[0]
-        rng = np.random.default_rng([seed, *f"{domain}|{scaffold}".encode()])
-        observed, null = float(np.ptp(x, axis=1).mean()), np.zeros(n_sim)
-        step = max(1, CHUNK // n_sim // x.shape[1])
-        for at in range(0, len(x), step):  # profiles in chunks: the mean range adds up over them
-            rows = min(step, len(x) - at)
-            drawn = rest[rng.integers(0, len(rest), (x.shape[1], n_sim, rows), dtype=np.int32)]  # groups first: their range is taken over whole tables
-            null += (drawn.max(0) - drawn.min(0)).sum(1)
-        null /= len(x)
-        mean = float(null.mean())
-        return pd.DataFrame([{"domain": domain, "scaffold": scaffold, "n_profiles": len(x), "obs": observed, "null_mean": mean, "ratio": observed / mean if mean else None, "p_arity": float((null >= observed).mean())}])
-
-    return wide.select("domain", "scaffold", "profile_id", "scores").groupBy("domain", "scaffold").applyInPandas(run, "domain string, scaffold string, n_profiles long, obs double, null_mean double, ratio double, p_arity double")
+        r = frame.iloc[0]
+        low = np.asarray(r.low, float)
+        width, n, groups = np.asarray(r.high, float) - low, int(r.n_profiles), int(r.n_groups)
+        mine = n // int(r.n_parts) + (int(r.part) < n % int(r.n_parts))
+        rng = np.random.default_rng([seed, int(r.part), *f"{r.domain}|{r.scaffold}".encode()])
+        sums, step = np.zeros(n_sim), max(1, CHUNK // n_sim // groups)
+        for at in range(0, mine, step):
+            shape = (groups, n_sim, min(step, mine - at))  # groups first: their range is taken over whole tables
+            rank = rng.integers(0, n * groups, shape)
+            if n * groups <= entries:
+                drawn = low[rank]
+            else:
+                entry = rank * entries // (n * groups)
+                drawn = low[entry] + width[entry] * rng.random(shape)
+            sums += (drawn.max(0) - drawn.min(0)).sum(1)
+        return pd.DataFrame({"domain": r.domain, "scaffold": r.scaffold, "n_profiles": n, "sim": np.arange(n_sim), "total": sums})
+
+    drawn = parts.groupBy(*cell, "part").applyInPandas(run, "domain string, scaffold string, n_profiles long, sim int, total double")
+    null = drawn.groupBy(*cell, "sim").agg((F.sum("total") / F.max("n_profiles")).alias("null"))
+    observed = wide.groupBy(*cell).agg(F.avg(F.array_max("scores") - F.array_min("scores")).alias("obs"), F.count(F.lit(1)).alias("n_profiles"))
+    both = beside(null, observed, cell).groupBy(*cell, "n_profiles", "obs").agg(F.avg("null").alias("null_mean"), F.avg((F.col("null") >= F.col("obs")).cast("double")).alias("p_arity"))
+    return both.select(*cell, "n_profiles", "obs", "null_mean", (F.col("obs") / F.when(F.col("null_mean") != 0, F.col("null_mean"))).alias("ratio"), "p_arity")
 
 
 def set_values(summary: DataFrame, metric: str) -> DataFrame:

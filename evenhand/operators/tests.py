@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..schema import CELL, LEVEL
+from ..shared import beside
 from ..workers import ship
+from . import ordered
 
 KEY = [*CELL, "group"]
 
@@ -22,12 +24,13 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
 def average_ranks(pairs: DataFrame) -> DataFrame:
     """Non-zero differences with the mean rank of their size: one row for each size, sign and key, ``m`` of it.
 
-    Equal sizes are counted before anything is ranked, so the window orders distinct sizes and not records.
+    Equal sizes are counted before anything is ranked, and the distinct ones are ranked by ranges: a key with any number of
+    different scores spans many tasks.
     """
     d = pairs.where("score is not null and ref_score is not null").select(*KEY, (F.col("score") - F.col("ref_score")).alias("d")).where("d <> 0")
     sizes = d.groupBy(*KEY, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("d") > 0).alias("ups"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy(*KEY).orderBy("size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return sizes.withColumn("avg_rank", (before + (F.col("m") + 1) / 2.0).cast("double"))
+    ranked = ordered.running_sum(ordered.ranges(sizes, KEY, ["size"]), KEY, ["size"], F.col("m"), "_before")
+    return ranked.select(*KEY, "size", "m", "ups", (F.col("_before") + (F.col("m") + 1) / 2.0).cast("double").alias("avg_rank"))
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
@@ -46,20 +49,21 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
     return got.select(*KEY, "n", "w", "z", F.when(F.col("z").isNull(), 1.0).otherwise(F.least(F.lit(1.0), 2 * (1 - stats.norm_cdf(F.abs("z"))))).alias("p"))
 
 
+def _numbered(ps: DataFrame, family: list[str], tie: list[str]) -> DataFrame:
+    """Known p-values with their place ``_r`` in the family's order, and its size ``_m``: one row a family is summed up beside them."""
+    rows = ordered.ranges(ps.where("p is not null and not isnan(p)"), family, ["p", *tie])
+    placed = ordered.running_sum(rows, family, ["p", *tie], F.lit(1), "_r").withColumn("_r", F.col("_r") + 1)
+    return beside(placed, rows.groupBy(*family).agg(F.count(F.lit(1)).alias("_m")), family)
+
+
 def benjamini_hochberg(ps: DataFrame, family: list[str], tie: list[str], level: float = LEVEL) -> DataFrame:
-    """Step-up q-values within each family; null and NaN p-values fall away. A family is the tests of one report: a few rows a cell."""
-    ps = ps.where("p is not null and not isnan(p)")
-    w = Window.partitionBy(*family)
-    ordered = w.orderBy("p", *tie)
-    step = F.least(F.lit(1.0), F.col("p") * F.count(F.lit(1)).over(w) / F.row_number().over(ordered))
-    ps = ps.withColumn("_step", step)
-    q = F.min("_step").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return ps.withColumn("q", q).withColumn("reject", F.col("q") <= level).drop("_step")
+    """Step-up q-values within each family, of any size; null and NaN p-values fall away."""
+    numbered = _numbered(ps, family, tie).withColumn("_step", F.least(F.lit(1.0), F.col("p") * F.col("_m") / F.col("_r")))
+    stepped = ordered.least_behind(numbered, family, ["p", *tie], F.col("_step"), "q")
+    return stepped.withColumn("reject", F.col("q") <= level).drop("_step", "_r", "_m", "_range")
 
 
 def bh_elementwise(ps: DataFrame, family: list[str], tie: list[str], level: float = LEVEL) -> DataFrame:
     """How many sorted p-values are at most their own threshold: not the step-up rule, kept for comparison."""
-    ps = ps.where("p is not null and not isnan(p)")
-    w = Window.partitionBy(*family)
-    ranked = ps.withColumn("_r", F.row_number().over(w.orderBy("p", *tie))).withColumn("_m", F.count(F.lit(1)).over(w))
+    ranked = _numbered(ps, family, tie)
     return ranked.groupBy(*family).agg(F.count_if(F.col("p") <= F.col("_r") / F.col("_m") * level).alias("n_survive"), F.count(F.lit(1)).alias("n_tests"))

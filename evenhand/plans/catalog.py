@@ -232,6 +232,11 @@ def bootstrap_ci_multiset(s, d):
     return resample.bootstrap(resample.set_values(_summary(s, d), "masd"), mode="multiset")
 
 
+@query
+def contrast_intervals(s, d):
+    return resample.contrast_intervals(_members(s, d))
+
+
 @query
 def retest_reliability(s, d):
     base = D.profiles(s, d)

@@ -20,13 +20,15 @@ TEST_KEY = [*CELL, "test", "group"]
 
 @dataclass
 class Report:
-    """Tidy frames: a row a cell, a row a (cell, group) with its rates, a row a test, a row a contrast with the reference."""
+    """Tidy frames: a row a cell, a row a (cell, group) with its rates, a row a test, a row a contrast with the reference, and
+    the intervals of each contrast's effects."""
 
     cells: DataFrame
     groups: DataFrame
     contrasts: DataFrame
     n_records: int
     details: DataFrame
+    effects: DataFrame
 
 
 def build(decisions: DataFrame, n_boot: int = 2000, seed: int = SEED, mode: str = "distinct", family: tuple[str, ...] = ()) -> Report:
@@ -45,7 +47,7 @@ def build(decisions: DataFrame, n_boot: int = 2000, seed: int = SEED, mode: str
     groups = action.select(*key, F.col("rate").alias("action_rate")).join(tool.select(*key, F.col("rate").alias("tool_rate")), key, "left")
     one = lambda t, name: t.select(*CELL, F.lit(name).alias("test"), "group", "p")
     ps = one(tests.mcnemar(pairs), "mcnemar").union(one(tests.wilcoxon(pairs), "wilcoxon"))
-    return Report(cells, groups, tests.benjamini_hochberg(ps, list(family), TEST_KEY), decisions.count(), disparity.details(decisions, pairs))
+    return Report(cells, groups, tests.benjamini_hochberg(ps, list(family), TEST_KEY), decisions.count(), disparity.details(decisions, pairs), resample.contrast_intervals(members, n_boot, seed))
 
 
 def document(report: Report) -> dict:
@@ -56,6 +58,9 @@ def document(report: Report) -> dict:
         cells[name(r)].setdefault("rates", {})[r["group"]] = {"action": r.action_rate, "tool": r.tool_rate}
     for r in report.details.orderBy(*CELL, "group").collect():
         cells[name(r)].setdefault("contrasts", {})[r["group"]] = {k: v for k, v in r.asDict().items() if k not in (*CELL, "group")}
+    for r in report.effects.orderBy(*CELL, "group", "metric").collect():
+        own = cells[name(r)].setdefault("contrasts", {}).setdefault(r["group"], {})
+        own.setdefault("effects", {})[r.metric] = {k: r[k] for k in ("point", "lo", "hi", "method")}
     fdr = {f"{name(r)}|{r.test}|{r['group']}": {"p": r.p, "q": r.q, "reject": r.reject} for r in report.contrasts.orderBy(*TEST_KEY).collect()}
     return {"reference_group": REFERENCE, "n_records": report.n_records, "cells": cells, "fdr": fdr}
 
@@ -64,8 +69,17 @@ def _number(x: float | None) -> str:
     return "—" if x is None or math.isnan(x) else f"{x:.3g}"
 
 
+def _effects(doc: dict) -> list[str]:
+    """A table of the contrasts' effects with their intervals; empty without any."""
+    names = {"action_gap": "action gap", "tool_gap": "tool gap", "cohens_h": "Cohen's h"}
+    rows = [(key, g, c["effects"]) for key, cell in doc["cells"].items() for g, c in sorted(cell.get("contrasts", {}).items()) if c.get("effects")]
+    shown = lambda e: f"{_number(e['point'])} [{_number(e['lo'])}, {_number(e['hi'])}]" if e else "—"
+    head = ["", f"| cell | group | {' | '.join(names.values())} |", "|-|-|-|-|-|"]
+    return [*head, *[f"| {key} | {g} | {' | '.join(shown(e.get(n)) for n in names)} |" for key, g, e in rows]] if rows else []
+
+
 def markdown(doc: dict) -> str:
-    """Cell table, mean spread by scaffold, and the contrasts that stay significant, 25 at most."""
+    """Cell table, mean spread by scaffold, effects with intervals, and the contrasts that stay significant, 25 at most."""
     out = [f"# Summary\n\n{doc['n_records']} records, reference group {doc['reference_group']}.\n", "| cell | CFR | interval | MASD | interval | rate disparity | tool disparity |", "|-|-|-|-|-|-|-|"]
     by: dict[str, list[float]] = {}
     for key, c in doc["cells"].items():
@@ -75,7 +89,7 @@ def markdown(doc: dict) -> str:
     out += ["", "Mean MASD by scaffold: " + ", ".join(f"{s} {_number(sum(v) / len(v))}" for s, v in sorted(by.items())) + ".", ""]
     kept = sorted((v["q"], k) for k, v in doc["fdr"].items() if v["reject"])
     out.append(f"{len(kept)} of {len(doc['fdr'])} contrasts are significant after correction.")
-    return "\n".join([*out, *[f"- {k}: q = {_number(q)}" for q, k in kept[:25]], ""])
+    return "\n".join([*out, *[f"- {k}: q = {_number(q)}" for q, k in kept[:25]], *_effects(doc), ""])
 
 
 def write(doc: dict, path: str) -> None:
