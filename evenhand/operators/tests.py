@@ -21,16 +21,21 @@ def mcnemar(pairs: DataFrame) -> DataFrame:
     return counts.withColumn("discordant", F.col("b") + F.col("c")).withColumn("p", stats.mcnemar_p(F.col("b"), F.col("c")))
 
 
+def _ranked_sizes(pairs: DataFrame) -> DataFrame:
+    """``average_ranks``, and a row without a size for the key's other pairs."""
+    d = F.when(F.col("score") != F.col("ref_score"), F.col("score") - F.col("ref_score"))
+    sizes = pairs.select(*KEY, d.alias("d")).groupBy(*KEY, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("d") > 0).alias("ups"))
+    ranked = ordered.running_sum(ordered.ranges(sizes, KEY, ["size"]), KEY, ["size"], F.when(F.col("size").isNotNull(), F.col("m")).otherwise(0), "_before")
+    return ranked.select(*KEY, "size", "m", "ups", F.when(F.col("size").isNotNull(), F.col("_before") + (F.col("m") + 1) / 2.0).cast("double").alias("avg_rank"))
+
+
 def average_ranks(pairs: DataFrame) -> DataFrame:
     """Non-zero differences with the mean rank of their size: one row for each size, sign and key, ``m`` of it.
 
     Equal sizes are counted before anything is ranked, and the distinct ones are ranked by ranges: a key with any number of
     different scores spans many tasks.
     """
-    d = pairs.where("score is not null and ref_score is not null").select(*KEY, (F.col("score") - F.col("ref_score")).alias("d")).where("d <> 0")
-    sizes = d.groupBy(*KEY, F.abs("d").alias("size")).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("d") > 0).alias("ups"))
-    ranked = ordered.running_sum(ordered.ranges(sizes, KEY, ["size"]), KEY, ["size"], F.col("m"), "_before")
-    return ranked.select(*KEY, "size", "m", "ups", (F.col("_before") + (F.col("m") + 1) / 2.0).cast("double").alias("avg_rank"))
+    return _ranked_sizes(pairs).where("size is not null")
 
 
 def wilcoxon(pairs: DataFrame) -> DataFrame:
@@ -38,10 +43,11 @@ def wilcoxon(pairs: DataFrame) -> DataFrame:
 
     No non-zero difference: p = 1 and no W; no variance: p = 1 and no z. A W equal to its mean is corrected upwards.
     """
-    n = F.col("n").cast("double")
-    got = average_ranks(pairs).groupBy(*KEY).agg(F.sum("m").alias("n"), F.sum(F.col("ups") * F.col("avg_rank")).alias("w"), F.sum((F.col("m").cast("double") * F.col("m") * F.col("m") - F.col("m"))).alias("tie"))
-    every = pairs.select(*KEY).distinct()
-    got = every.join(got, KEY, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    n, known = F.col("n").cast("double"), F.col("size").isNotNull()
+    cubes = F.col("m").cast("double") * F.col("m") * F.col("m") - F.col("m")
+    got = _ranked_sizes(pairs).groupBy(*KEY).agg(
+        F.coalesce(F.sum(F.when(known, F.col("m"))), F.lit(0)).alias("n"), F.sum(F.col("ups") * F.col("avg_rank")).alias("w"), F.sum(F.when(known, cubes)).alias("tie")
+    )
     var = (n * (n + 1) * (2 * n + 1) - F.col("tie") / 2) / 24
     off = F.col("w") - n * (n + 1) / 4
     z = F.when(var > 0, (off - F.when(off < 0, -0.5).otherwise(0.5)) / F.sqrt(F.when(var > 0, var)))
