@@ -12,7 +12,7 @@ from .functions import scenarios as S
 from .operators import anova, panel, replay
 from .plans import report
 from .schema import GROUPS, SEED
-from .sources import adapters, decisions, files
+from .sources import adapters, decisions, files, names
 
 
 def _session() -> SparkSession:
@@ -26,6 +26,19 @@ def _profiles(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").alias("profile_id"), "domain", "content", F.xxhash64("id").alias("doc_id"))
 
 
+def _drawn(spark: SparkSession, args, pools: dict[str, list[str]] | None) -> DataFrame | None:
+    """(profile_id, group, name) as a seeded loop over the file draws from given pools; None for the built-in ones, drawn by hash."""
+    if pools is None:
+        return None
+    base = files.profiles(spark, args.profiles, ordered=True).select(F.col("id").alias("profile_id"), "line_no")
+    return names.seeded(base, ["line_no"], pools, args.seed).groupBy("profile_id", "group").agg(F.min("name").alias("name"))
+
+
+def _named(spark: SparkSession, grid: DataFrame, args, pools: dict[str, list[str]] | None) -> DataFrame:
+    drawn = _drawn(spark, args, pools)
+    return grid.withColumn("name", decisions.hashed_name(args.seed)) if drawn is None else grid.join(drawn, ["profile_id", "group"])
+
+
 def _pools(spark: SparkSession, path: str | None) -> dict[str, list[str]] | None:
     """The name pools of a file, a few names a group; None stands for the built-in ones."""
     if path is None:
@@ -44,11 +57,16 @@ def _bias(given: list[str]) -> dict[str, float]:
 
 
 def _asked(spark: SparkSession, args, pools) -> DataFrame:
-    """Decisions of a chat server over the whole grid."""
-    rows = decisions.grid(S.with_domain(_profiles(spark, args.profiles)), tuple(args.scaffolds), pools).withColumn("name", decisions.hashed_name(args.seed))
-    rows = rows.select(*replay.KEY, "name", "action_name", "score_name", S.prompt().alias("prompt"), S.decision_schema().alias("schema"))
-    got = adapters.decide(rows, adapters.chat_completions(args.model, args.base_url)).withColumn("model", F.lit(args.model))
-    return got.withColumns(S.parse(F.col("decision"), F.col("action_name"), F.col("score_name"))).withColumn("raw", F.col("decision")).drop("prompt", "schema", "action_name", "score_name", "decision")
+    """Decisions of a chat server over the whole grid; those that ``out``_store has from an earlier run are not asked for again."""
+    rows = _named(spark, decisions.grid(S.with_domain(_profiles(spark, args.profiles)), tuple(args.scaffolds), pools), args, pools)
+    rows = rows.select(F.lit(args.model).alias("model"), *replay.KEY, "name", "action_name", "score_name", S.prompt().alias("prompt"), S.decision_schema().alias("schema"))
+    store = adapters.Store(f"{args.out}_store", ["model", *replay.KEY])
+    got = store.fill(rows, _server(args), args.parallel, in_flight=args.in_flight, retries=args.retries)
+    return got.withColumns(S.parse(F.col("decision"), F.col("action_name"), F.col("score_name"))).withColumn("raw", F.col("decision")).drop("prompt", "schema", "action_name", "score_name", "decision", "error")
+
+
+def _server(args):
+    return adapters.chat_completions(args.model, args.base_url)
 
 
 def _reported(made: DataFrame, args) -> None:
@@ -66,15 +84,15 @@ def run(args) -> None:
             raise SystemExit("--adapter chat needs --model")
         report.write_raw(_asked(spark, args, pools), f"{args.out}_raw")
         return _replay(spark, args, f"{args.out}_raw", args.model)  # a server is asked once: the report reads the traces
-    name = decisions.hashed_name(args.seed)
-    made = decisions.mock(_profiles(spark, args.profiles), tuple(args.scaffolds), _bias(args.bias), name=name, by_prompt=args.bias_by_prompt, pools=pools, model=args.model or "mock")
+    made = decisions.mock(_profiles(spark, args.profiles), tuple(args.scaffolds), _bias(args.bias), name=decisions.hashed_name(args.seed), by_prompt=args.bias_by_prompt, pools=pools, model=args.model or "mock", names=_drawn(spark, args, pools))
     made = made.withColumn("ord", F.xxhash64("profile_id", "scaffold", "group"))
     report.write_raw(made, f"{args.out}_raw")
     _reported(made, args)
 
 
 def _replay(spark: SparkSession, args, raw: str, model: str) -> None:
-    grid = decisions.grid(_profiles(spark, args.profiles).drop("content"), tuple(args.scaffolds), _pools(spark, args.names)).select(*replay.KEY, decisions.hashed_name(args.seed).alias("name"))
+    pools = _pools(spark, args.names)
+    grid = _named(spark, decisions.grid(_profiles(spark, args.profiles).drop("content"), tuple(args.scaffolds), pools), args, pools).select(*replay.KEY, "name")
     held = replay.latest(decisions.trace(spark, raw, model).select(*replay.KEY, "ord", "score", "action", "tool_request"))
     full = grid.join(held, replay.KEY, "left").withColumn("model", F.lit(model)).withColumn("ord", F.coalesce("ord", F.lit(0)))
     _reported(full, args)
@@ -133,6 +151,9 @@ def main(argv: list[str] | None = None) -> None:
             p.add_argument("--adapter", choices=["mock", "chat"], default="mock")
             p.add_argument("--model")
             p.add_argument("--base-url")
+            p.add_argument("--parallel", type=int, default=8, help="tasks that call the server at a time")
+            p.add_argument("--in-flight", type=int, default=4, help="calls of a task at a time")
+            p.add_argument("--retries", type=int, default=3)
             p.add_argument("--bias", nargs="*", default=[], metavar="GROUP=DELTA", help="or one JSON object")
             p.add_argument("--bias-by-prompt", action="store_true", help="move the scores of prompts that name the group")
         else:

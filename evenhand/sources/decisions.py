@@ -62,12 +62,13 @@ def seeded_names(ids: list[str], pools: dict[str, list[str]], seed: int = SEED)
 
 def mock(
     base: DataFrame, codes: tuple[str, ...] = ("C0", "C2", "C3"), bias: dict[str, float] | None = None, threshold: float = 50.0,
-    name: Column | None = None, by_prompt: bool = False, pools: dict[str, list[str]] | None = None, model: str = "mock",
+    name: Column | None = None, by_prompt: bool = False, pools: dict[str, list[str]] | None = None, model: str = "mock", names: DataFrame | None = None,
 ) -> DataFrame:
     """Mock decisions of the whole grid. The text is hashed once a profile, before the grid multiplies its rows.
 
     ``bias`` moves the scores of a group; with ``by_prompt``, of every prompt that has the group's label in it, with blanks
-    or underscores. A body is searched once a profile, and a row of the grid adds what stands before it.
+    or underscores. A body is searched once a profile, and a row of the grid adds what stands before it. Names are those of
+    ``names`` (profile_id, group, name) if it is given, else the column ``name``, else drawn by hash.
     """
     bias = bias or {}
     body = S.prompt_body()
@@ -76,7 +77,8 @@ def mock(
     found = [within(F.lower(body), g).alias(f"_in{i}") for i, g in enumerate(bias)] if by_prompt else []
     head = ["subject", "task", F.lower(F.substring(body, 1, longest)).alias("_start")] if by_prompt else []
     scored = S.with_domain(base).select("profile_id", "domain", "doc_id", S.mock_score(body).alias("base"), *found, *head)
-    out = grid(scored, codes, pools).withColumn("name", hashed_name() if name is None else name)
+    out = grid(scored, codes, pools)
+    out = out.withColumn("name", hashed_name() if name is None else name) if names is None else out.join(names, ["profile_id", "group"])
     if by_prompt:
         out = out.withColumn("_head", F.concat(F.lower(S.prompt_head()), "_start"))
     delta = F.lit(0.0)
