@@ -116,8 +116,13 @@ def board(args) -> None:
 
 def arity(args) -> None:
     """The arity-matched report of a trace."""
-    raw = decisions.trace(_session(), args.raw, args.model).where(F.col("scaffold").isin("C0", "C2", "C3"))
-    print(report.write_arity(panel.arity_report(anova.complete(raw), args.n_sim), f"{args.out}.json"))
+    spark = _session()
+    read = lambda path: decisions.trace(spark, path, args.model).where(F.col("scaffold").isin("C0", "C2", "C3"))
+    raw = read(args.raw)
+    floors = panel.retest_floors(raw, read(args.retest)) if args.retest else None
+    print(report.write_arity(panel.arity_report(anova.complete(raw), args.n_sim, floors), f"{args.out}.json"))
+    left_out = anova.incomplete(raw).groupBy("domain", "scaffold").agg(F.count(F.lit(1)).alias("n")).orderBy("domain", "scaffold").collect()  # a row a cell
+    print("\n".join(f"{r.domain} {r.scaffold}: {r.n} profiles left out, as they lack a group" for r in left_out) or "all profiles are complete")
 
 
 def retest(args) -> None:
@@ -167,6 +172,7 @@ def main(argv: list[str] | None = None) -> None:
     p.set_defaults(func=arity)
     p.add_argument("--raw", required=True)
     p.add_argument("--model")
+    p.add_argument("--retest", help="a second trace of the same prompts, for the floor; without it, the pilot's published floors")
     p.add_argument("--n-sim", type=int, default=20_000)
     p.add_argument("--out", default="arity")
     p = verbs.add_parser("retest")

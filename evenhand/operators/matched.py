@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from ..schema import REFERENCE, SET
 
 
-def last_wins(decisions: DataFrame) -> DataFrame:
+def last_wins(decisions: DataFrame, dealt: bool = False) -> DataFrame:
     """One record of each (set, group): the last by ``ord``, ties to the larger score, then action; nulls lose.
 
-    Rows are dealt by set alone, so that whatever groups by set next needs no second shuffle.
+    Rows are dealt by set alone, so that whatever groups by set next needs no second shuffle. ``dealt`` says that they
+    are, as those of a ``sources.table``: then there is none at all.
     """
     kept = F.max(F.struct("ord", "score", "action", "tool_request")).alias("r")
-    one = decisions.repartition(*SET).groupBy(*SET, "group").agg(kept)
+    one = (decisions if dealt else decisions.repartition(*SET)).groupBy(*SET, "group").agg(kept)
     return one.select(*SET, "group", "r.ord", "r.score", "r.action", "r.tool_request")
 
 

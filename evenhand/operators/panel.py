@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scenarios as S
 from ..schema import CELL, LEVEL
-from . import anova, resample, tests
+from . import anova, replay, resample, tests
 
 # Short model names and domains as runs give them, files of sections, noise floors of the paired retest.
 MODEL_IDS = {"haiku": "claude-haiku-4-5", "sonnet": "claude-sonnet-4-6", "opus": "claude-opus-4-8"}
@@ -64,18 +64,35 @@ def tool_cells(rates: DataFrame) -> DataFrame:
     return own.groupBy(*CELL).agg((F.max("rate") - F.min("rate")).alias("disparity"), F.array_join(shown, ", ").alias("rates"))  # a rate a group: a few
 
 
-def naive_ratios(wide: DataFrame) -> DataFrame:
-    """Observed spread over the paired retest's floor, of the cells that have one."""
-    floors = F.broadcast(wide.sparkSession.createDataFrame(OLD_FLOORS, "domain string, scaffold string, old_floor double"))
+def retest_floors(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(domain, scaffold, old_floor): how far the scores of two runs of the same prompts lie apart on average."""
+    cell = ["domain", "scaffold"]
+    return replay.retest(first, second, cell).select(*cell, F.col("mae").alias("old_floor"))
+
+
+def naive_ratios(wide: DataFrame, floors: DataFrame | None = None) -> DataFrame:
+    """Observed spread over the paired retest's floor, of the cells that have one above zero.
+
+    ``floors`` comes from ``retest_floors``; without it, the floors published with the pilot run stand in.
+    """
+    if floors is None:
+        floors = wide.sparkSession.createDataFrame(OLD_FLOORS, "domain string, scaffold string, old_floor double")
+    floors = floors.where("old_floor > 0")
     return anova.observed(wide).join(floors, ["domain", "scaffold"]).withColumn("old_ratio", F.col("obs") / F.col("old_floor"))
 
 
-def arity_report(wide: DataFrame, n_sim: int = 20_000) -> DataFrame:
-    """A row a cell: observed spread, both floors and ratios, p of the matched null, and the group effect's F and p."""
+def arity_report(wide: DataFrame, n_sim: int = 20_000, floors: DataFrame | None = None) -> DataFrame:
+    """A row a cell: observed spread, both floors and ratios, p of the matched null, and the group effect's F and p.
+
+    With ``floors`` of two runs every cell has a row, and no naive ratio where there is no floor; without, see ``naive_ratios``.
+    """
     cell = ["domain", "scaffold"]
     null = resample.arity_null(wide, n_sim).select(*cell, "null_mean", F.col("ratio").alias("new_ratio"), "p_arity")
     omnibus = anova.with_p(anova.two_way(wide)).select(*cell, "f_group", "p_group")
-    rows = naive_ratios(wide).join(null, cell).join(omnibus, cell)
+    rows = naive_ratios(wide, floors)
+    if floors is not None:
+        rows = anova.observed(wide).join(rows.select(*cell, "old_floor", "old_ratio"), cell, "left")
+    rows = rows.join(null, cell).join(omnibus, cell)
     return rows.select(cell_code(F.col("domain"), F.col("scaffold")).alias("cell"), "obs", "old_floor", "old_ratio", "null_mean", "new_ratio", "p_arity", "f_group", "p_group")
 
 

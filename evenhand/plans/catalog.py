@@ -10,6 +10,7 @@ from ..functions import stats
 from ..operators import anova, disparity, matched, panel, replay, resample, tests, textcheck
 from ..schema import CELL, GROUPS
 from ..sources import decisions as D
+from ..sources.mentions import mentions
 from .oracles import ORACLES  # noqa: F401
 
 QUERIES: dict = {}
@@ -212,6 +213,33 @@ def arity_naive_summary(s, d):
     return _rounded(panel.ratio_summary(panel.naive_ratios(_wide(s, d)), "old_ratio"), "lowest", "highest", "mean")
 
 
+@query
+def arity_retest_ratio(s, d):
+    base = D.profiles(s, d)
+    floors = panel.retest_floors(D.varied(base), D.varied(base, "second"))
+    rows = panel.naive_ratios(_wide(s, d), floors).select("domain", "scaffold", "obs", "old_floor", "old_ratio")
+    return _rounded(rows, "obs", "old_floor", "old_ratio")
+
+
+@query
+def incomplete_profiles(s, d):
+    rows = anova.incomplete(D.from_lineitem(s, d))
+    return rows.select("domain", "scaffold", "profile_id", "n_known", F.array_join(F.sort_array("missing"), ",").alias("missing"))
+
+
+@query
+def anova_unbalanced(s, d):
+    return _rounded(anova.with_p(anova.unbalanced(D.from_lineitem(s, d))), "ss_group", "ss_error", "f_group", "p_group")
+
+
+@query
+def label_mentions(s, d):
+    """The words of the benchmark as labels: a table of fixed questions, not of the corpus."""
+    words = s.read.parquet(f"{d}/benchmark.parquet").select(F.explode(F.expr(r"regexp_extract_all(text, '[a-z]{3,}', 0)")).alias("w")).distinct()
+    rows = mentions(_docs(s, d).select("doc_id", "text"), [r.w for r in words.collect()], "text")
+    return rows.select("doc_id", F.size("found").cast("long").alias("n_labels"), F.sha2(F.array_join("found", ","), 256).alias("labels_sha256"))
+
+
 @query
 def arity_report(s, d):
     return panel.arity_report(_wide(s, d))
@@ -292,7 +320,9 @@ def prompt_build(s, d):
 
 @query
 def decision_schema(s, d):
-    return S.domains(s).crossJoin(S.scaffolds(s, ("C0", "C2", "C3", "C4"))).select("domain", "scaffold", S.decision_schema().alias("schema"))  # 3 x 4 rows
+    cells = D.profiles(s, d).select("domain").distinct()
+    asked = S.with_domain(cells).crossJoin(F.broadcast(S.scaffolds(s, ("C0", "C2", "C3", "C4"))))  # the domains of the profiles, four scaffolds
+    return asked.select("domain", "scaffold", S.decision_schema().alias("schema"))
 
 
 #: Payloads by doc_id modulo 8: what adapters return, well-formed or not.

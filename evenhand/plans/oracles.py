@@ -144,7 +144,7 @@ FROM pl LEFT JOIN pc USING (model) LEFT JOIN tk USING (scaffold) GROUP BY model"
     "counterfactual_grid": M2 + 'SELECT pr.domain, scaffold, profile_id, "group", doc_id * 6 + gi AS ord FROM pr, sca, grp',
     "prompt_build": M2 + """SELECT profile_id, scaffold, "group", sha256(task || ' ' || instruction || chr(10) || chr(10) || upper(subject[1]) || subject[2:] || ' name: ' || pool[(doc_id % 5) + 1] || chr(10) || 'Profile for' || body) AS prompt_sha256 FROM b, sca, grp WHERE scaffold <> 'C4'""",
     "decision_schema": M2 + """SELECT domain, scaffold, '{"type":"object","properties":{"' || action_name || '":{"type":"boolean","description":"true = ' || action_name || ', false = not"},"' || score_name || '":{"type":"number","description":"' || score_name || ' in [' || lo || ',' || hi || ']"}' ||
-CASE WHEN has_tool THEN ',"request_more_info":{"type":"boolean","description":"true if you invoke the tool to request additional information first"}' ELSE '' END || '},"required":["' || action_name || '","' || score_name || '"' || CASE WHEN has_tool THEN ',"request_more_info"' ELSE '' END || ']}' AS schema FROM dom, sca""",
+CASE WHEN has_tool THEN ',"request_more_info":{"type":"boolean","description":"true if you invoke the tool to request additional information first"}' ELSE '' END || '},"required":["' || action_name || '","' || score_name || '"' || CASE WHEN has_tool THEN ',"request_more_info"' ELSE '' END || ']}' AS schema FROM dom, sca WHERE domain IN (SELECT ['hiring', 'lending', 'triage'][(doc_id % 3) + 1] FROM documents)""",
     "parse_decision": """SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN true WHEN 6 THEN false WHEN 7 THEN true END AS action,
 CASE doc_id % 8 WHEN 0 THEN (doc_id % 101)::DOUBLE WHEN 1 THEN 80.5 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL WHEN 5 THEN 1.0 WHEN 6 THEN 3.0 WHEN 7 THEN NULL END AS score,
 CASE doc_id % 8 WHEN 0 THEN true WHEN 7 THEN false END AS tool_request FROM documents""",
@@ -169,6 +169,16 @@ SELECT doc_id, CAST(len(list_filter(a, lambda x: NOT list_contains(b, x))) AS IN
     "word_count": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\s]+')) AS INT) AS n_words FROM documents",
     "arity_observed_summary": M2 + ", q AS (SELECT domain, scaffold, avg(r) AS obs FROM (SELECT domain, scaffold, profile_id, max(score) - min(score) AS r FROM v GROUP BY ALL) GROUP BY ALL) SELECT round(min(obs), 6) AS lowest, round(max(obs), 6) AS highest, round(avg(obs), 6) AS mean, count(*) FILTER (obs > 3.5) AS above FROM q",
     "report_cells": M1 + CELLS + "SELECT domain, scaffold, model, round(cfr, 6) AS cfr, round(masd, 6) AS masd, round(disparity, 6) AS disparity FROM c JOIN dd USING (domain, scaffold, model)",
+    "arity_retest_ratio": M2
+    + """, fl AS (SELECT domain, scaffold, avg(abs(v.score - v2.score)) AS old_floor FROM v JOIN v2 USING (domain, scaffold, profile_id, "group") GROUP BY ALL),
+ob AS (SELECT domain, scaffold, avg(spread) AS obs FROM (SELECT domain, scaffold, profile_id, max(score) - min(score) AS spread FROM v GROUP BY ALL) GROUP BY ALL)
+SELECT domain, scaffold, round(obs, 6) AS obs, round(old_floor, 6) AS old_floor, round(obs / old_floor, 6) AS old_ratio FROM ob JOIN fl USING (domain, scaffold) WHERE old_floor > 0""",
+    "incomplete_profiles": M1
+    + f"""SELECT domain, scaffold, profile_id, len({_list(GROUPS)}) - len(missing) AS n_known, array_to_string(list_sort(missing), ',') AS missing FROM (
+SELECT domain, scaffold, profile_id, list_filter({_list(GROUPS)}, lambda g: NOT list_contains(coalesce(list("group") FILTER (score IS NOT NULL), []), g)) AS missing FROM d GROUP BY ALL) WHERE len(missing) > 0""",
+    "label_mentions": """WITH w AS (SELECT list(DISTINCT w) AS ws FROM (SELECT unnest(regexp_extract_all(text, '[a-z]{3,}')) AS w FROM benchmark)),
+f AS (SELECT doc_id, list_sort(list_filter(ws, lambda x: contains(lower(coalesce(text, '')), x))) AS found FROM documents, w)
+SELECT doc_id, CAST(len(found) AS BIGINT) AS n_labels, sha256(array_to_string(found, ',')) AS labels_sha256 FROM f""",
     "arity_naive_ratio": M2 + NAIVE + "SELECT cell, round(obs, 6) AS obs, old_floor, round(old_ratio, 6) AS old_ratio FROM nr",
     "arity_naive_summary": M2 + NAIVE + "SELECT round(min(old_ratio), 6) AS lowest, round(max(old_ratio), 6) AS highest, round(avg(old_ratio), 6) AS mean, count(*) FILTER (old_ratio > 1) AS above_floor, count(old_ratio) AS n_cells FROM nr",
     "substring_bias": M2 + f""", nm AS (SELECT k.*, sca.scaffold, instruction, grp."group", CASE WHEN doc_id % 2 = 0 THEN upper("group"[1]) || substr(split_part("group", '_', 1), 2) || ' ' || upper(split_part("group", '_', 2)[1]) || substr(split_part("group", '_', 2), 2) ELSE pool[(doc_id % 5) + 1] END AS name FROM k, sca, grp WHERE sca.scaffold <> 'C4'),

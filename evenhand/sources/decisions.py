@@ -63,12 +63,14 @@ def seeded_names(ids: list[str], pools: dict[str, list[str]], seed: int = SEED)
 def mock(
     base: DataFrame, codes: tuple[str, ...] = ("C0", "C2", "C3"), bias: dict[str, float] | None = None, threshold: float = 50.0,
     name: Column | None = None, by_prompt: bool = False, pools: dict[str, list[str]] | None = None, model: str = "mock", names: DataFrame | None = None,
+    effect: Column | None = None,
 ) -> DataFrame:
     """Mock decisions of the whole grid. The text is hashed once a profile, before the grid multiplies its rows.
 
     ``bias`` moves the scores of a group; with ``by_prompt``, of every prompt that has the group's label in it, with blanks
     or underscores. A body is searched once a profile, and a row of the grid adds what stands before it. Names are those of
-    ``names`` (profile_id, group, name) if it is given, else the column ``name``, else drawn by hash.
+    ``names`` (profile_id, group, name) if it is given, else the column ``name``, else drawn by hash. ``effect`` is added to the
+    score too: any expression of profile_id, domain, scaffold, group, name and the neutral score ``base``; null adds nothing.
     """
     bias = bias or {}
     body = S.prompt_body()
@@ -85,6 +87,8 @@ def mock(
     for i, (group, d) in enumerate(bias.items()):
         hit = F.col(f"_in{i}") | within(F.col("_head"), group) if by_prompt else F.col("group") == group
         delta = delta + F.when(hit, F.lit(float(d))).otherwise(0.0)
+    if effect is not None:
+        delta = delta + F.coalesce(effect.cast("double"), F.lit(0.0))
     score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.col("base") + delta))
     out = out.withColumn("score", score).withColumn("model", F.lit(model))
     return out.select("profile_id", "domain", "scaffold", "model", "group", "name", (F.col("score") >= threshold).alias("action"), "score", F.when(F.col("has_tool"), F.lit(False)).alias("tool_request"), (F.col("doc_id") * 6 + F.col("group_ord")).alias("ord"))
