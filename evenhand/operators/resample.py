@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..schema import CELL, GROUPS, REFERENCE, SEED
-from ..shared import beside
+from ..shared import beside, settled
 from ..workers import ship
 from . import ordered
 
@@ -299,3 +299,13 @@ def set_values(summary: DataFrame, metric: str) -> DataFrame:
     """A set's contribution to a cell's mean: flip as 0 or 1, or the spread; null where it has none."""
     value = F.when(F.col("n_act") >= 2, F.col("flip").cast("double")) if metric == "cfr" else F.when(F.col("n_score") >= 2, F.col("spread"))
     return summary.select(*CELL, "profile_id", value.alias("value"))
+
+
+def set_intervals(summary: DataFrame, n_boot: int = 2000, seed: int = SEED, mode: str = "distinct", block: int = BLOCK) -> DataFrame:
+    """``intervals`` of both metrics of matched sets, named ``cfr`` and ``masd``, from one pass of draws: those of ``bootstrap``.
+
+    Settled, as a report joins it twice: a few rows a cell.
+    """
+    values = summary.select(*CELL, "profile_id", F.when(F.col("n_act") >= 2, F.col("flip").cast("double")).alias("cfr_v"), F.when(F.col("n_score") >= 2, F.col("spread")).alias("masd_v"))
+    values = values.withColumns({f"{m}_k": F.col(f"{m}_v").isNotNull().cast("double") for m in ("cfr", "masd")})
+    return settled(intervals(values, ["cfr_v", "cfr_k", "masd_v", "masd_k"], {m: ratio(f"{m}_v", f"{m}_k") for m in ("cfr", "masd")}, n_boot, seed, mode, block=block))

@@ -37,9 +37,10 @@ def build(decisions: DataFrame, n_boot: int = 2000, seed: int = SEED, mode: str
     summary = matched.set_summary(members).persist()
     pairs = matched.reference_pairs(members)
     cells = disparity.flip_rate(summary).withColumnRenamed("n_sets", "cfr_sets").join(disparity.score_spread(summary).withColumnRenamed("n_sets", "masd_sets"), CELL)
+    ci = resample.set_intervals(summary, n_boot, seed, mode)
     for metric in ("cfr", "masd"):
-        ci = resample.bootstrap(resample.set_values(summary, metric), n_boot, seed, mode)
-        cells = cells.join(ci.select(*CELL, *[F.col(c).alias(f"{metric}_{c}") for c in ("lo", "hi", "method", "z0", "a")]), CELL, "left")
+        of = ci.where(F.col("statistic") == metric).select(*CELL, *[F.col(c).alias(f"{metric}_{c}") for c in ("lo", "hi", "method", "z0", "a")])
+        cells = cells.join(of, CELL, "left")
     action, tool = disparity.rates(decisions), disparity.rates(decisions, "tool_request")
     cells = cells.join(disparity.disparity(action).select(*CELL, F.col("disparity").alias("rate_disparity")), CELL, "left")
     cells = cells.join(disparity.disparity(tool).select(*CELL, F.col("disparity").alias("tool_disparity")), CELL, "left")

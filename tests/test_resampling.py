@@ -168,3 +168,12 @@ def test_ranks_and_step_up_of_one_large_key(spark):
     for at in range(2999, -1, -1):
         least = min(least, ps[order[at]] * 3000 / (at + 1))
         assert found[order[at]] == pytest.approx(least)
+
+
+def test_both_metrics_share_their_draws(spark, sf_dir):
+    summary = catalog._summary(spark, sf_dir)
+    both = {(r.statistic, *[r[c] for c in CELL]): r for r in resample.set_intervals(summary, n_boot=60).collect()}
+    for metric in ("cfr", "masd"):
+        for r in resample.bootstrap(resample.set_values(summary, metric), n_boot=60).collect():
+            own = both[(metric, *[r[c] for c in CELL])]
+            assert [own[c] for c in ("point", "lo", "hi", "method", "z0", "a")] == [r[c] for c in ("point", "lo", "hi", "method", "z0", "a")]
