@@ -6,6 +6,7 @@ from importlib import import_module
 EXPORTS = {
     "GROUPS": "schema", "REFERENCE": "schema", "scenarios": "functions.scenarios", "stats": "functions.stats",
     "decisions": "sources.decisions", "files": "sources.files", "adapters": "sources.adapters",
+    "table": "sources.table", "names": "sources.names", "mentions": "sources.mentions", "ordered": "operators.ordered",
     "matched": "operators.matched", "disparity": "operators.disparity", "paired": "operators.tests", "resample": "operators.resample",
     "anova": "operators.anova", "replay": "operators.replay", "panel": "operators.panel", "textcheck": "operators.textcheck", "report": "plans.report",
 }
