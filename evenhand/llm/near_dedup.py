@@ -6,6 +6,10 @@ the prefix reaches depends on how dense the region is. Candidates are confirmed
 batches, and a later batch only pairs classes that are still in different components, so a large group of near copies is
 one component before most of its pairs have been compared. What a window of neighbours can't reach in dense regions is
 taken up afterwards: members of different components there meet block by block. Components come from the confirmed links.
+
+Pairs are ruled out by a bound before their texts are fetched. An odd sketch has a bit for each residue of a set's hashes, set
+if an odd number of them has it; two sketches differ in no more bits than the sets differ in shingles. So a pair whose
+sketches differ in too many bits for the similarity can't be a link, and no link is ruled out.
 """
 
 from __future__ import annotations
@@ -29,8 +33,10 @@ TREES, DEPTH, LEAST_DEPTH = 21, 6, 3
 WINDOW = 4
 #: Orders of each batch.
 BATCHES = (1, 4, 16)
-#: Members of a dense region that meet in one task, and the estimate below which a pair of similarity 0.8 doesn't fall (by 4 deviations).
-BLOCK, LEAST_ESTIMATE = 256, 0.65
+#: Members of a dense region that meet in one task.
+BLOCK = 256
+#: Bytes of the odd sketch that goes with the orders, and the least of the one that goes with dense regions, which has two bits a shingle.
+NARROW, LEAST_WIDE = 64, 128
 
 _ODD = np.random.default_rng(20_240_601).integers(1, 2**63, TREES * DEPTH, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = np.random.default_rng(20_240_602).integers(0, 2**63, TREES * DEPTH, dtype=np.uint64)
@@ -67,6 +73,26 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def odd_sketch(s: np.ndarray) -> np.ndarray:
+    """Packed parities of the residues of a set's hashes; their number is a power of two, two a member at least."""
+    m = max(8 * LEAST_WIDE, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits((np.bincount((s & np.uint64(m - 1)).astype(np.int64), minlength=m) & 1).astype(bool))
+
+
+def folded(sketches: np.ndarray, width: int) -> np.ndarray:
+    """Sketches, a row each, as they are for ``width`` bytes: residues of a smaller power of two."""
+    return np.bitwise_xor.reduce(sketches.reshape(len(sketches), -1, width), axis=1)
+
+
+def can_be_like(n: np.ndarray, x: np.ndarray, m: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of n and m members with the sketches x and y can have ``percent`` hundredths of their union in common.
+
+    Sets that differ in d members have (n + m - d) / 2 in common and (n + m + d) / 2 together.
+    """
+    bits = np.bitwise_count(np.ascontiguousarray(x ^ y).view(np.uint64)).sum(-1, dtype=np.int64)
+    return (100 + percent) * np.maximum(bits, np.abs(n - m)) <= (100 - percent) * (n + m)
+
+
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,51 +101,65 @@ def _profile(k: int):
                 sets = [shingle_set(t, k) for t in some.column(1).to_pylist()]
                 full = [s for s in sets if len(s)]
                 sig = iter(signatures(full)) if full else iter(())
+                wide = [odd_sketch(s) if len(s) else None for s in sets]
+                binary = lambda of: pa.array([of(s, o) if len(s) else None for s, o in zip(sets, wide, strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [some.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()), pa.array([next(sig).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "n", "key", "sig"],
+                    [
+                        some.column(0),
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        binary(lambda s, o: xxhash.xxh3_128_digest(s.tobytes())),
+                        binary(lambda s, o: next(sig).tobytes()),
+                        binary(lambda s, o: folded(o[None], NARROW).tobytes()),
+                        binary(lambda s, o: o.tobytes()),
+                    ],
+                    names=["doc_id", "n", "key", "sig", "narrow", "wide"],
                 )
 
     return run
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, part, node, comp) in order -> pairs of different components that share the least depth, and the rows next to the partition's ends (b null)."""
-    width = 4 * DEPTH
-    names = ["a", "b", "tree", "part", "comp"]
-    kept: tuple[np.ndarray, ...] | None = None
-    first: list[tuple] = []
+def _neighbours(percent: int):
+    """Rows (tree, part, node, comp, n, narrow) in order -> pairs of different components that share the least depth and whose
+    sketches don't rule them out, and the rows next to the partition's ends (b null)."""
+    names = ["a", "b", "tree", "part", "comp", "n", "narrow"]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
 
-    def ends(t, p, n, c) -> list[tuple]:
-        return [(int(x), int(y), bytes(z), int(w)) for x, y, z, w in zip(n, t, p, c, strict=True)]
+    def fixed(column: pa.Array, width: int) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
-    def edge(rows: list[tuple]) -> pa.RecordBatch:
-        n, t, p, c = (list(x) for x in zip(*rows, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.nulls(len(rows), pa.int64()), pa.array(t, pa.int32()), pa.array(p, pa.binary()), pa.array(c, pa.int64())], names=names)
+    def ends(cols: tuple[np.ndarray, ...]) -> list[tuple]:
+        return [(int(node), None, int(t), bytes(p), int(c), int(n), bytes(o)) for t, p, node, c, n, o in zip(*cols, strict=True)]
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        t, n, c = (batch.column(i).to_numpy() for i in (0, 2, 3))
-        p = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, width)
-        fresh = 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, ...] | None = None
+        first: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tree, node, comp, size = (batch.column(i).to_numpy() for i in (0, 2, 3, 4))
+            cols = (tree, fixed(batch.column(1), 4 * DEPTH), node, comp, size, fixed(batch.column(5), NARROW))
+            fresh = 0
+            if kept is not None:
+                fresh = len(kept[0])
+                cols = tuple(np.concatenate(x) for x in zip(kept, cols, strict=True))
+            if len(first) < WINDOW:
+                first = ends(tuple(x[:WINDOW] for x in cols))
+            t, p, node, c, n, o = cols
+            for step in range(1, WINDOW + 1):
+                i = np.arange(max(0, fresh - step), len(t) - step)
+                j = i + step
+                near = (t[i] == t[j]) & (p[i, : 4 * LEAST_DEPTH] == p[j, : 4 * LEAST_DEPTH]).all(1) & (c[i] != c[j])
+                i, j = i[near], j[near]
+                fine = can_be_like(n[i], o[i], n[j], o[j], percent)
+                i, j = node[i[fine]], node[j[fine]]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j)), *[pa.nulls(len(i), x) for x in types[2:]]], names=names)
+            kept = tuple(x[-WINDOW:] for x in cols)
         if kept is not None:
-            fresh = len(kept[0])
-            t, p, n, c = (np.concatenate(x) for x in zip(kept, (t, p, n, c), strict=True))
-        if len(first) < WINDOW:
-            first = ends(t[:WINDOW], p[:WINDOW], n[:WINDOW], c[:WINDOW])
-        a, b = [], []
-        for step in range(1, WINDOW + 1):
-            i = np.arange(max(0, fresh - step), len(t) - step)
-            if len(i):
-                i = i[(t[i] == t[i + step]) & (p[i, : 4 * LEAST_DEPTH] == p[i + step, : 4 * LEAST_DEPTH]).all(1) & (c[i] != c[i + step])]
-                a.append(n[i]), b.append(n[i + step])
-        if a:
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.nulls(len(a), pa.int64())], names=names)
-        kept = (t[-WINDOW:], p[-WINDOW:], n[-WINDOW:], c[-WINDOW:])
-    if kept is not None:
-        yield edge(sorted({*first, *ends(*kept)}))
+            rows = sorted({*first, *ends(kept)}, key=lambda r: (r[2:4], r[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), y) for x, y in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
+    return run
 
 
 def _confirm(k: int, percent: int):
@@ -139,18 +179,31 @@ def _confirm(k: int, percent: int):
     return run
 
 
-def _across(key, frame):
-    """Pairs of two blocks, or of one, whose components differ and whose signatures don't rule out the similarity."""
-    import pandas as pd
+def _across(percent: int):
+    """Pairs of two blocks, or of one, whose components differ and whose sketches don't rule out the similarity."""
 
-    a, b = [], []
-    sig = np.frombuffer(b"".join(frame.sig), ">u4").reshape(len(frame), -1) if len(frame) else None
-    node, comp, home = frame.node.to_numpy(), frame.comp.to_numpy(), frame.home.to_numpy()
-    for i in range(len(frame) - 1):
-        j = np.flatnonzero((comp[i + 1 :] != comp[i]) & ((key[2] == key[3]) | (home[i + 1 :] != home[i]))) + i + 1
-        j = j[(sig[j] == sig[i]).mean(1) >= LEAST_ESTIMATE]
-        a.append(np.minimum(node[i], node[j])), b.append(np.maximum(node[i], node[j]))
-    return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+    def run(key, frame):
+        import pandas as pd
+
+        node, comp, home, n = (frame[c].to_numpy() for c in ("node", "comp", "home", "n"))
+        width, alone = frame.wide.str.len().to_numpy(), key[2] == key[3]
+        a, b = [], []
+        for w in np.unique(width):
+            # the rows of this width, then the wider ones as they are at this width
+            own, sketches = [], []
+            for v in np.unique(width[width >= w]):
+                at = np.flatnonzero(width == v)
+                own.append(at)
+                sketches.append(folded(np.frombuffer(b"".join(frame.wide.iloc[at]), np.uint8).reshape(len(at), -1), int(w)))
+            rows, x = np.concatenate(own), np.concatenate(sketches)
+            for at, i in enumerate(own[0]):
+                j = rows[at + 1 :]
+                near = np.flatnonzero((comp[j] != comp[i]) & (alone | (home[j] != home[i])))
+                near = near[can_be_like(n[i], x[at], n[j[near]], x[at + 1 + near], percent)]
+                a.append(np.minimum(node[i], node[j[near]])), b.append(np.maximum(node[i], node[j[near]]))
+        return pd.DataFrame({"a": np.concatenate(a) if a else [], "b": np.concatenate(b) if b else []}, dtype="int64")
+
+    return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -173,13 +226,13 @@ def _with_component(nodes: DataFrame, comps: DataFrame | None) -> DataFrame:
     return nodes.join(held, F.col("node") == F.col("_c"), "left").withColumn("comp", F.coalesce("component", "node")).drop("_c", "component")
 
 
-def _candidates(classes: DataFrame, comps: DataFrame | None, trees: range, slots: int) -> DataFrame:
-    """(a, b) that are neighbours in one of the orders and in different components."""
-    orders = _with_component(classes.select("node", F.posexplode(F.array(*[_part(t) for t in trees])).alias("tree", "part")), comps)
-    sort, schema = ["tree", "part", "node"], "a long, b long, tree int, part binary, comp long"
-    found = cut(orders.select(*sort, "comp").repartitionByRange(slots, *sort).sortWithinPartitions(*sort).mapInArrow(_neighbours, schema), "neighbours")
+def _candidates(classes: DataFrame, comps: DataFrame | None, trees: range, slots: int, percent: int) -> DataFrame:
+    """(a, b) that are neighbours in one of the orders, in different components and not ruled out."""
+    orders = _with_component(classes.select("node", "n", "narrow", F.posexplode(F.array(*[_part(t) for t in trees])).alias("tree", "part")), comps)
+    sort, schema = ["tree", "part", "node"], "a long, b long, tree int, part binary, comp long, n long, narrow binary"
+    found = cut(orders.select(*sort, "comp", "n", "narrow").repartitionByRange(slots, *sort).sortWithinPartitions(*sort).mapInArrow(_neighbours(percent), schema), "neighbours")
     # rows at the ends of partitions, a few of each: those of adjacent partitions are neighbours too
-    ends = found.where("b is null").select("tree", "part", F.col("a").alias("node"), "comp").coalesce(1).sortWithinPartitions(*sort).mapInArrow(_neighbours, schema)
+    ends = found.where("b is null").select("tree", "part", F.col("a").alias("node"), "comp", "n", "narrow").coalesce(1).sortWithinPartitions(*sort).mapInArrow(_neighbours(percent), schema)
     pairs = cut(found.union(ends).where("b is not null").select("a", "b").distinct(), "pairs")
     drop(found)
     return pairs
@@ -205,9 +258,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     python_ready(spark)
     slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = cut(own.mapInArrow(_profile(k), "doc_id long, n long, key binary, sig binary"), "profiles")
-    classes = cut(profile.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), F.min("sig").alias("sig")), "classes")
-    whole, profile = profile, cut(profile.drop("sig"), "sizes")
+    profile = cut(own.mapInArrow(_profile(k), "doc_id long, n long, key binary, sig binary, narrow binary, wide binary"), "profiles")
+    classes = cut(profile.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node"), *[F.min(c).alias(c) for c in ("n", "sig", "narrow", "wide")]), "classes")
+    whole, profile = profile, cut(profile.select("doc_id", "n", "key"), "sizes")
     drop(whole)
     named = profile.where("key is not null and doc_id is not null")
 
@@ -220,7 +273,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         return new
 
     for size in BATCHES:
-        new = confirmed(_candidates(classes, comps, range(start, start + size), slots))
+        new = confirmed(_candidates(classes, comps, range(start, start + size), slots, percent))
         links = new if links is None else links.union(new)
         if comps is not None:
             drop(comps)
@@ -232,11 +285,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     dense = regions.join(sizes, (F.col("tree") == F.col("_t")) & (F.col("stem") == F.col("_s"))).drop("_t", "_s")
     dense = cut(_with_component(dense, comps).select("tree", "stem", "size", "node", "comp"), "dense")
     mixed = dense.groupBy(F.col("tree").alias("_t"), F.col("stem").alias("_s")).agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y")
-    blocked = dense.join(mixed, (F.col("tree") == F.col("_t")) & (F.col("stem") == F.col("_s")), "left_semi").join(classes.select(F.col("node").alias("_n"), "sig"), F.col("node") == F.col("_n"))
+    blocked = dense.join(mixed, (F.col("tree") == F.col("_t")) & (F.col("stem") == F.col("_s")), "left_semi").join(classes.select(F.col("node").alias("_n"), "n", "wide"), F.col("node") == F.col("_n"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     blocked = blocked.withColumn("i", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    blocked = blocked.select("tree", "stem", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "comp", "sig", F.col("i").alias("home"))
-    rest = cut(blocked.groupBy("tree", "stem", "i", "j").applyInPandas(_across, "a long, b long").distinct(), "rest")
+    blocked = blocked.select("tree", "stem", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "node", "comp", "n", "wide", F.col("i").alias("home"))
+    rest = cut(blocked.groupBy("tree", "stem", "i", "j").applyInPandas(_across(percent), "a long, b long").distinct(), "rest")
     drop(dense)
     links = links.union(confirmed(rest))
 

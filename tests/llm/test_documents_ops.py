@@ -229,3 +229,34 @@ def test_notices_that_share_a_line_or_are_wrapped():
         found = matcher.scan(text)
         assert found and (found["licence"], found["line"]) == (want, line)
     assert matcher.scan("this file is the one to use in any case") is None and matcher.scan(None) is None
+
+
+@pytest.mark.parametrize("percent", [30, 80, 95])
+def test_sketches_never_rule_out_a_link(percent):
+    rng = np.random.default_rng(5)
+    out = 0
+    for _ in range(3000):
+        n = int(rng.integers(1, 3000)) if rng.random() < 0.3 else int(rng.integers(1, 60))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        own = rng.random(len(a)) < rng.random() ** 0.3
+        b = np.unique(np.r_[a[own], rng.integers(0, 2**63, int(rng.integers(0, n // 3 + 2)), dtype=np.uint64)])
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        x, y = near_dedup.odd_sketch(a), near_dedup.odd_sketch(b)
+        for width in (near_dedup.NARROW, min(len(x), len(y))):
+            can = near_dedup.can_be_like(np.array([len(a)]), near_dedup.folded(x[None], width), np.array([len(b)]), near_dedup.folded(y[None], width), percent)[0]
+            assert can or 100 * both < percent * (len(a) + len(b) - both)
+            out += not can
+    assert out > 100
+
+
+def test_near_duplicates_of_long_and_short_texts(docs_of, by_id):
+    """Sketches of different widths meet, and a long text links with its like."""
+    rng = random.Random(11)
+    long = [f"w{rng.randrange(5000)}" for _ in range(9000)]
+    texts = {1: " ".join(long), 2: " ".join([*long[:8200], "cut"]), 3: " ".join(long[:500]), 4: " ".join([*long[:520], "end"]), 5: " ".join(long[:600]), 6: " ".join(long[:4500])}
+    texts |= {10 + i: " ".join([*long[: 500 + i], f"own{i}"]) for i in range(0, 60, 5)}
+    got = by_id(near_dedup.near_duplicates(docs_of(texts.items()), k=4))
+    sets = {i: {tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} for i, t in texts.items() for w in [t.split()]}
+    assert {i: r.component_id for i, r in got.items()} == brute_components(sets)
