@@ -141,6 +141,29 @@ def test_arity_null_in_parts(spark, entries, task):
     assert got.p_arity == pytest.approx((plain >= got.obs).mean(), abs=0.08)
 
 
+@pytest.mark.parametrize("kind", ["normal", "heavy", "lattice", "constant"])
+def test_counted_rows_have_the_spread_of_drawn_ones(kind):
+    rng = np.random.default_rng(3)
+    make = {"normal": lambda: rng.normal(size=500), "heavy": lambda: rng.standard_t(3, size=500), "lattice": lambda: rng.integers(0, 60, 500) / 10, "constant": lambda: np.ones(500)}
+    value, below = np.sort(make[kind]()), np.arange(501) / 500
+    share, mean, variance = resample._spreads(value, below, 6, rng)
+    one = np.ptp(value[rng.integers(0, 500, (6, 1_000_000))], axis=0)
+    assert share.sum() == pytest.approx(1) and share @ mean == pytest.approx(one.mean(), abs=5 * one.std() / 1000)
+    assert share @ (mean**2 + variance) - (share @ mean) ** 2 == pytest.approx(one.var(), rel=0.02, abs=1e-12)
+    rows = rng.multinomial(2000, share, 20_000).astype(float)
+    total = rows @ mean + np.sqrt(rows @ variance) * rng.standard_normal(20_000)
+    plain = np.array([np.ptp(value[rng.integers(0, 500, (6, 2000))], axis=0).sum() for _ in range(2000)])
+    for q in (0.05, 0.5, 0.95) if kind != "constant" else ():
+        assert (plain <= np.quantile(total, q)).mean() == pytest.approx(q, abs=0.05)
+
+
+def test_large_cells_cost_no_more_draws(spark):
+    wide = spark.range(4000).selectExpr("'hiring' as domain", "'C0' as scaffold", "cast(id as string) as profile_id", "transform(sequence(1, 6), k -> (id * 7919 + k * 104729) % 1009 / 10D) as scores")
+    plain, counted = (resample.arity_null(wide, n_sim=500, entries=n).first() for n in (1 << 16, 1 << 12))
+    assert counted.n_profiles == 4000 and counted.obs == plain.obs
+    assert counted.null_mean == pytest.approx(plain.null_mean, rel=1e-3) and counted.p_arity == pytest.approx(plain.p_arity, abs=0.1)
+
+
 def test_running_sums_span_ranges(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.randint(0, 300), i, rng.randint(1, 9)) for i in range(4000)]
