@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evenhand.operators import matched, ordered, resample, tests
+from evenhand.operators import matched, ordered, panel, resample, tests
 from evenhand.plans import catalog, report
 from evenhand.schema import CELL, DECISION, GROUPS, REFERENCE
 
@@ -164,6 +164,12 @@ def test_large_cells_cost_no_more_draws(spark):
     assert counted.null_mean == pytest.approx(plain.null_mean, rel=1e-3) and counted.p_arity == pytest.approx(plain.p_arity, abs=0.1)
 
 
+def test_summary_reads_one_report(spark):
+    drawn = spark.range(3).selectExpr("concat('hir-C', id) as cell", "1D as obs", "1D as old_floor", "1D as old_ratio", "1D as null_mean", "1D + rand() as new_ratio", "0.5D as p_arity", "1D as f_group", "0.01D as p_group")
+    plan = panel.arity_summary(drawn)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rand(" not in plan and panel.arity_summary(drawn).first().omnibus_survive == 3
+
+
 def test_running_sums_span_ranges(spark):
     rng = random.Random(6)
     rows = [(rng.choice(["hot"] * 8 + ["b", None]), rng.randint(0, 300), i, rng.randint(1, 9)) for i in range(4000)]
