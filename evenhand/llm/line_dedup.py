@@ -12,7 +12,8 @@ under 60 words apart.
 A text is normalised once. What is kept of a line is slim: two hashes, its place and its sketch. Texts are fetched for
 candidates only. Keys are dealt out family by family, and only those that different lines share are kept. The lines of a
 bucket meet its first line only; those linked to it leave, and the rest meets the first of them in the next round. So a
-round is linear in the lines, however many a bucket has.
+round is linear in the lines, however many a bucket has. After the rounds the lines of a bucket that are still in different
+components are all compared, in blocks, so no pair that shares a key is left out.
 """
 
 from __future__ import annotations
@@ -46,8 +47,10 @@ HALVINGS = (0, 0, 2, 3, 4, 5, 5, 6, 6, 6, 7)
 #: Lines of more words are compared by units: a word is one unit for each so many of its characters, at least one.
 #: Changed words keep about a fifth of their letters by chance, so this part of the units is like EDITS of the letters.
 FEW_WORDS, UNIT, UNIT_EDITS = 10, 4, 0.25
-#: Rounds. A pair is compared if, in a bucket that both share, one of them is the first left in one of the rounds.
+#: Rounds that link most lines at little cost, before all pairs of what is still apart.
 ROUNDS = 3
+#: Lines of a bucket that are compared with each other in one piece.
+PIECE = 500
 
 #: Layout of the bit counts: eight counters of 8 bits in a number, for runs of up to 127 words (more could
 #: overflow the sign), or two of 32 bits.
@@ -204,6 +207,23 @@ def _left_over(members: DataFrame, comps: DataFrame) -> DataFrame:
     return rest.join(first, F.col("block") == F.col("_b")).select("block", "h", "low")
 
 
+def _still_apart(members: DataFrame, comps: DataFrame, hashes: DataFrame, close) -> DataFrame:
+    """(a, b) with close sketches of all lines that share a bucket and are in different components.
+
+    A bucket is dealt into pieces, and each two of them meet under a key of their own: no task has a whole bucket.
+    """
+    named = members.select("block", "h").join(comps.select(F.col("node").alias("_h"), "component"), F.col("h") == F.col("_h"), "left").select("block", "h", F.coalesce("component", "h").alias("c"))
+    apart = named.groupBy(F.col("block").alias("_b")).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("n")).where("low <> high")
+    rows = named.join(apart, F.col("block") == F.col("_b")).join(hashes, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("n")).cast("int"))
+    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("block", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "h", "c", "x")
+    rows = cut(rows, "apart")
+    of = lambda to: rows.select("block", "i", "j", F.col("h").alias(to), F.col("c").alias(f"{to}_c"), F.col("own").alias(f"{to}_own"), F.col("x").alias(f"{to}_x"))
+    pairs = of("a").join(of("b"), ["block", "i", "j"]).where("a < b and a_c <> b_c and (i = j or a_own <> b_own)").where(close("a_x", "b_x"))
+    found = cut(pairs.select("a", "b").distinct(), "pairs")
+    drop(rows)
+    return found
+
+
 def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, t, pos, h, g), and (h, g, comp) of the distinct lines that occur again or have others like them."""
     if whole:
@@ -223,6 +243,7 @@ def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFr
     texts = _texts(docs, occurrences, members.select(F.col("h").alias("_h")).distinct())
     of = lambda to: hashes.select(F.col("h").alias(to), F.col(held).alias(f"{to}_x"))
     tried, links, comps = [], [], None
+    shared = members
     for i in range(ROUNDS):
         if i:
             members = cut(_left_over(members, comps), "members")
@@ -233,11 +254,17 @@ def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFr
         tried.append(stars)
         links.append(cut(_confirmed(stars, texts), "links"))
         comps = cut(connected_components(reduce(DataFrame.union, links), "a", "b"), "components")
+    rest = _still_apart(shared, comps, hashes.select("h", F.col(held).alias("x")), close)
+    tried.append(rest)
+    for before in tried[:-1]:
+        rest = rest.join(before.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    links.append(cut(_confirmed(rest, texts), "links"))
+    comps = cut(connected_components(reduce(DataFrame.union, links), "a", "b"), "components")
     # only the line whose text was compared has the component
     named = comps.join(texts.select(F.col("h").alias("_h"), F.col("g").alias("_g")), F.col("node") == F.col("_h")).select("_h", "_g", "component")
     groups = lines.select("h", "g", "n").join(named, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left")
     groups = cut(groups.where("n > 1 or component is not null").select("h", "g", F.coalesce("component", "h").alias("comp")), "groups")
-    drop(lines, members, texts, comps, *tried, *links)
+    drop(lines, members, shared, texts, comps, *tried, *links)
     return occurrences, groups
 
 

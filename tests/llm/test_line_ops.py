@@ -167,3 +167,17 @@ def test_recall_of_like_lines_against_all_pairs(spark, sf_dir, duck):
     joined = sum(comp.get((lines[i].h, lines[i].g), 0) == comp.get((lines[j].h, lines[j].g), 1) for i, j in like)
     print(f"{joined} of {len(like)} like pairs are in one group")
     assert len(like) >= 20 and joined >= 0.9 * len(like)
+
+
+def test_links_between_lines_that_are_no_buckets_first(spark):
+    """Of each three, one is like both others, which are unlike each other; all have the same sketch, so share all buckets."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    lines = []
+    for _ in range(8):
+        long, short = [word(8) for _ in range(10)], [[word(2) for _ in range(20)] for _ in range(2)]
+        lines += [" ".join(long + short[1][:n] + short[0][n:]) for n in (0, 8, 16)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    occurrences, groups = line_dedup.line_groups(docs, whole=True)
+    got = {r.doc_id: r.comp for r in occurrences.join(groups, ["h", "g"]).select("doc_id", "comp").collect()}
+    assert [len({got.get(3 * k + i) for i in range(3)}) for k in range(8)] == [1] * 8 and len(set(got.values())) == 8
