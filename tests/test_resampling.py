@@ -206,3 +206,25 @@ def test_both_metrics_share_their_draws(spark, sf_dir):
         for r in resample.bootstrap(resample.set_values(summary, metric), n_boot=60).collect():
             own = both[(metric, *[r[c] for c in CELL])]
             assert [own[c] for c in ("point", "lo", "hi", "method", "z0", "a")] == [r[c] for c in ("point", "lo", "hi", "method", "z0", "a")]
+
+
+def test_equal_sets_of_a_large_cell_are_counted(spark):
+    """However many sets a cell has, what is drawn from is a row for each of its different values."""
+    rows = spark.range(30_000).select(*[F.lit("a").alias(c) for c in CELL], F.col("id").cast("string").alias("profile_id"), (F.col("id") % 3 == 0).cast("double").alias("value"))
+    sets = resample.counted(rows, ["value"])
+    assert sorted((r.value, r.n_equal, r.profile_id) for r in sets.collect()) == [(0.0, 20_000, None), (1.0, 10_000, None)]
+    drawn = np.array([r.value for r in resample.replicates(rows, ["value"], mode="multiset").collect()])
+    assert drawn.mean() == pytest.approx(10_000, abs=10) and drawn.std() == pytest.approx(math.sqrt(30_000 * 2 / 9), rel=0.1)
+    drawn = np.array([r.value for r in resample.replicates(rows, ["value"]).collect()])
+    plain = np.array([(np.unique(d) % 3 == 0).sum() for d in np.random.default_rng(3).integers(0, 30_000, (2000, 30_000))])
+    assert drawn.mean() == pytest.approx(plain.mean(), abs=6 * plain.std() / math.sqrt(1000)) and drawn.std() == pytest.approx(plain.std(), rel=0.1)
+
+
+def test_how_many_equal_sets_are_drawn():
+    rng = np.random.default_rng(9)
+    for n, k in ((1, 0), (1, 3), (2, 2), (7, 5), (40, 60)):
+        want = np.bincount([len(set(d)) for d in rng.integers(0, n, (20_000, k)).tolist()], minlength=n + 1) / 20_000
+        got = np.bincount(resample._reached(rng, np.full(20_000, k), n), minlength=n + 1) / 20_000
+        assert abs(want - got).max() < 0.02
+    sizes, times = np.array([1, 3, 1024, 1025, 2048, 5000]), np.array([[0, 0, 0, 0, 0, 0], [9, 1, 1, 1, 1, 1], [2, 900, 10**5, 10**5, 10**5, 10**6]])
+    assert resample._distinct(rng, times, sizes).tolist() == [[0] * 6, [1] * 6, sizes.tolist()]
