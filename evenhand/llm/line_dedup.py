@@ -12,8 +12,9 @@ under 60 words apart.
 A text is normalised once. What is kept of a line is slim: two hashes, its place and its sketch. Texts are fetched for
 candidates only. Keys are dealt out family by family, and only those that different lines share are kept. The lines of a
 bucket meet its first line only; those linked to it leave, and the rest meets the first of them in the next round. So a
-round is linear in the lines, however many a bucket has. After the rounds the lines of a bucket that are still in different
-components are all compared, in blocks, so no pair that shares a key is left out.
+round is linear in the lines, however many a bucket has. After the rounds come the lines of the buckets that are still in
+different components. Those compared by units meet over the rare words that like lines can't all lack, an exact prefix
+filter; those of few words meet the lines of their bucket, in pieces. So no like pair that shares a key is left out.
 """
 
 from __future__ import annotations
@@ -47,10 +48,14 @@ HALVINGS = (0, 0, 2, 3, 4, 5, 5, 6, 6, 6, 7)
 #: Lines of more words are compared by units: a word is one unit for each so many of its characters, at least one.
 #: Changed words keep about a fifth of their letters by chance, so this part of the units is like EDITS of the letters.
 FEW_WORDS, UNIT, UNIT_EDITS = 10, 4, 0.25
+#: The letters of units: enough that different words hardly ever count as equal.
+FIRST_LETTER, LETTERS = 0x4E00, 20_992
 #: Rounds that link most lines at little cost, before all pairs of what is still apart.
 ROUNDS = 3
-#: Lines of a bucket that are compared with each other in one piece.
+#: Lines of a bucket or a word that are compared with each other in one piece.
 PIECE = 500
+#: Words ahead of a rare word that are kept with it, so that most pairs are met once.
+AHEAD = 32
 
 #: Layout of the bit counts: eight counters of 8 bits in a number, for runs of up to 127 words (more could
 #: overflow the sign), or two of 32 bits.
@@ -188,9 +193,14 @@ def _texts(docs: DataFrame, occurrences: DataFrame, asked: DataFrame) -> DataFra
     found = own.select(F.explode(_let(F.split("text", "\n", -1), lambda lines: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["g"].alias("g"), F.get(lines, w["pos"]).alias("line"))))).alias("w"))
     norm = F.trim(F.regexp_replace(F.lower("w.line"), _OTHER_BLANK, " "))
     found = found.select("w.h", "w.g", norm.alias("norm")).dropDuplicates(["h"])
-    unit = lambda w: F.repeat(F.char(F.pmod(F.xxhash64(w), F.lit(255)) + 1), F.greatest(F.lit(1), F.ceil(F.length(w) / UNIT).cast("int")))
-    words = F.split("norm", " ")
-    return cut(found.withColumn("units", F.when(F.size(words) > FEW_WORDS, F.array_join(F.transform(words, unit), ""))), "texts")
+    return cut(found.withColumn("units", _units("norm")), "texts")
+
+
+def _units(norm: str) -> Column:
+    """A line of more than FEW_WORDS words as a string of units; one of LETTERS letters stands for each word."""
+    letter = lambda w: F.decode(F.unhex(F.hex(F.lit(FIRST_LETTER) + F.pmod(F.xxhash64(w), F.lit(LETTERS)))), "UTF-16BE")
+    words = F.split(norm, " ")
+    return F.when(F.size(words) > FEW_WORDS, F.array_join(F.transform(words, lambda w: F.repeat(letter(w), _weight(w))), ""))
 
 
 def _let(value: Column, body) -> Column:
@@ -207,23 +217,84 @@ def _left_over(members: DataFrame, comps: DataFrame) -> DataFrame:
     return rest.join(first, F.col("block") == F.col("_b")).select("block", "h", "low")
 
 
-def _still_apart(members: DataFrame, comps: DataFrame, hashes: DataFrame, close) -> DataFrame:
-    """(a, b) with close sketches of all lines that share a bucket and are in different components.
+def _weight(w: Column) -> Column:
+    """Units that a word stands for."""
+    return F.greatest(F.lit(1), F.ceil(F.length(w) / UNIT).cast("int"))
+
 
-    A bucket is dealt into pieces, and each two of them meet under a key of their own: no task has a whole bucket.
+def _rare_words(words: DataFrame) -> DataFrame:
+    """Words (h, c, x, k units) of lines -> (x, h, c, u, b, before): each line's rarest words, which a like line can't all lack.
+
+    Lines within UNIT_EDITS of ``u`` units have all but so many of the longer one's units in common. So in one order of all
+    words the first they have in common has at most so many units ``b`` before it in either. Rare words come first, which
+    decides the cost and not the result. ``before`` are the AHEAD words of the line, at most, that come right before this one.
     """
-    named = members.select("block", "h").join(comps.select(F.col("node").alias("_h"), "component"), F.col("h") == F.col("_h"), "left").select("block", "h", F.coalesce("component", "h").alias("c"))
-    apart = named.groupBy(F.col("block").alias("_b")).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("n")).where("low <> high")
-    rows = named.join(apart, F.col("block") == F.col("_b")).join(hashes, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("n")).cast("int"))
-    rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("block", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "h", "c", "x")
-    rows = cut(rows, "apart")
-    of = lambda to: rows.select("block", "i", "j", F.col("h").alias(to), F.col("c").alias(f"{to}_c"), F.col("own").alias(f"{to}_own"), F.col("x").alias(f"{to}_x"))
-    pairs = of("a").join(of("b"), ["block", "i", "j"]).where("a < b and a_c <> b_c and (i = j or a_own <> b_own)").where(close("a_x", "b_x"))
-    found = cut(pairs.select("a", "b").distinct(), "pairs")
-    drop(rows)
+    counts = words.groupBy(F.col("x").alias("_x")).agg(F.count(F.lit(1)).alias("n"))
+    at = words.join(counts, F.col("x") == F.col("_x")).groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("n", "x", "k"))).alias("_w"))
+    at = at.select("h", "c", F.explode(F.array(F.flatten(F.transform("_w", lambda w: F.array_repeat(w["x"], w["k"]))))).alias("_u"))
+    at = at.select("h", "c", "_u", F.explode(F.array(F.array_distinct(F.slice("_u", F.lit(1), F.floor(F.size("_u") * UNIT_EDITS).cast("int") + 1)))).alias("_p"))
+    with_place = F.transform("_p", lambda x: F.struct(x.alias("x"), (F.call_function("array_position", "_u", x) - 1).cast("int").alias("b")))
+    at = at.select("h", "c", F.size("_u").alias("u"), "_p", F.posexplode(with_place).alias("_k", "_x"))
+    return at.select("_x.x", "h", "c", "u", "_x.b", F.slice("_p", F.greatest(F.lit(1), F.col("_k") - AHEAD + 1), F.least(F.col("_k"), F.lit(AHEAD))).alias("before"))
+
+
+def _long_apart(lines: DataFrame) -> DataFrame:
+    """(a, b) of the lines (h, c, norm) with units, different ``c``, and enough units in common by a bound: each pair once.
+
+    A word's lines are dealt into pieces that meet two by two under keys of their own. A component of more lines than a piece has one for
+    itself, which does not meet itself: no time goes into pairs of one component, however large.
+    """
+    words = lines.select("h", "c", F.explode(F.split("norm", " ")).alias("w")).select("h", "c", F.xxhash64("w").alias("x"), _weight(F.col("w")).alias("k"))
+    words = cut(words, "apart-words")
+    rare = cut(_rare_words(words), "rare")
+    drop(words)
+    of_word = rare.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("x").alias("_x")).agg(F.count(F.lit(1)).alias("cs"), F.ceil(F.sum("n") / PIECE).cast("int").alias("n"), F.collect_list(F.when(F.col("n") > PIECE, F.col("c"))).alias("large")).where("cs > 1")
+    own_piece = lambda c: -1 - F.pmod(c, F.lit(1 << 62))
+    rows = rare.join(of_word, F.col("x") == F.col("_x")).withColumn("alone", F.array_contains("large", F.col("c")))
+    rows = rows.withColumn("own", F.when(F.col("alone"), own_piece(F.col("c"))).otherwise(F.pmod(F.xxhash64("h"), F.col("n"))))
+    every = F.concat(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), F.transform("large", own_piece))
+    rows = rows.select("x", "h", "c", "u", "b", "before", "own", "alone", F.explode(every).alias("_o")).where("not (alone and own = _o)")
+    rows = cut(rows.select("x", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "h", "c", "u", "b", "before"), "rare-pieces")
+    of = lambda to, piece: rows.where(F.col("own") == F.col(piece)).select("x", "i", "j", F.col("h").alias(to), *[F.col(k).alias(f"{to}_{k}") for k in ("c", "u", "b", "before")])
+    pairs = of("a", "i").join(of("b", "j"), ["x", "i", "j"]).where("(i <> j or a < b) and a_c <> b_c")
+    longer = F.greatest("a_u", "b_u")
+    enough = F.least(F.col("a_u") - F.col("a_b"), F.col("b_u") - F.col("b_b")) >= longer - F.floor(longer * UNIT_EDITS)
+    found = cut(pairs.where(enough).where(~F.arrays_overlap("a_before", "b_before")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    drop(rare, rows)
     return found
 
 
+def _short_apart(rows: DataFrame, lines: DataFrame, hashes: DataFrame, close) -> DataFrame:
+    """(a, b) with close sketches and like lengths of the rows (block, h, c) that share a bucket, one of them at least without units.
+
+    The lines of a bucket are dealt into pieces, which those without units meet: no task has a whole bucket.
+    """
+    rows = rows.join(lines.select("h", "chars", "few"), "h").join(hashes, "h")
+    some = rows.groupBy(F.col("block").alias("_b")).agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("n")).join(rows.where("few").select(F.col("block").alias("_f")).distinct(), F.col("_b") == F.col("_f"), "left_semi")
+    rows = rows.join(some, F.col("block") == F.col("_b"))
+    of = lambda to, part, piece: rows.where(part).select("block", piece.alias("piece"), F.col("h").alias(to), *[F.col(k).alias(f"{to}_{k}") for k in ("c", "chars", "few", "x")])
+    both = of("a", "few", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).join(of("b", "true", F.pmod(F.xxhash64("h"), F.col("n")).cast("int")), ["block", "piece"])
+    near = F.abs(F.col("a_chars") - F.col("b_chars")) <= F.floor(F.greatest("a_chars", "b_chars") * EDITS)
+    pairs = both.where("a_c <> b_c and (a < b or not b_few)").where(near).where(close("a_x", "b_x"))
+    return cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+
+
+def _still_apart(members: DataFrame, comps: DataFrame, hashes: DataFrame, texts: DataFrame, close) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the lines that share a bucket with one of another component: all that may be like by what rules none out.
+
+    Lines that are compared by units meet over their rare words, whatever buckets they have; the others, and those with
+    them, in their buckets.
+    """
+    named = members.select("block", "h").join(comps.select(F.col("node").alias("_h"), "component"), F.col("h") == F.col("_h"), "left").select("block", "h", F.coalesce("component", "h").alias("c"))
+    apart = named.groupBy(F.col("block").alias("_b")).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
+    rows = cut(named.join(apart, F.col("block") == F.col("_b")).select("block", "h", "c"), "apart")
+    held = texts.select(F.col("h").alias("_h"), "norm", F.length("norm").alias("chars"), F.col("units").isNull().alias("few"))
+    lines = cut(rows.select("h", "c").distinct().join(held, F.col("h") == F.col("_h")).drop("_h"), "apart-lines")
+    pairs = _long_apart(lines.where("not few").select("h", "c", "norm")), _short_apart(rows, lines, hashes, close)
+    drop(rows, lines)
+    return pairs
+
+
 def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, t, pos, h, g), and (h, g, comp) of the distinct lines that occur again or have others like them."""
     if whole:
@@ -254,10 +325,9 @@ def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFr
         tried.append(stars)
         links.append(cut(_confirmed(stars, texts), "links"))
         comps = cut(connected_components(reduce(DataFrame.union, links), "a", "b"), "components")
-    rest = _still_apart(shared, comps, hashes.select("h", F.col(held).alias("x")), close)
-    tried.append(rest)
-    for before in tried[:-1]:
-        rest = rest.join(before.withColumnsRenamed({"a": "_a", "b": "_b"}), (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b")), "left_anti")
+    pairs = _still_apart(shared, comps, hashes.select("h", F.col(held).alias("x")), texts, close)
+    rest = reduce(DataFrame.union, pairs).join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+    tried += pairs
     links.append(cut(_confirmed(rest, texts), "links"))
     comps = cut(connected_components(reduce(DataFrame.union, links), "a", "b"), "components")
     # only the line whose text was compared has the component

@@ -181,3 +181,48 @@ def test_links_between_lines_that_are_no_buckets_first(spark):
     occurrences, groups = line_dedup.line_groups(docs, whole=True)
     got = {r.doc_id: r.comp for r in occurrences.join(groups, ["h", "g"]).select("doc_id", "comp").collect()}
     assert [len({got.get(3 * k + i) for i in range(3)}) for k in range(8)] == [1] * 8 and len(set(got.values())) == 8
+
+
+def units_apart(a, b):
+    one, two = ([w for w in x.split() for _ in range(-(-len(w) // line_dedup.UNIT))] for x in (a, b))
+    return distance(one, two), max(len(one), len(two))
+
+
+@pytest.mark.parametrize("piece", [4, 500])
+def test_lines_still_apart_meet_over_rare_words(spark, monkeypatch, piece):
+    """No pair of different components within the edits is left out, and each one with something in common is met once."""
+    monkeypatch.setattr(line_dedup, "PIECE", piece)
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    lines = [[rng.choice(words) for _ in range(rng.randint(11, 30))] for _ in range(12)]
+    lines += [[rng.choice(words) if rng.random() < 0.15 else w for w in line for _ in range(1 + (rng.random() < 0.05))] for line in lines for _ in range(3)]
+    rows = [(i, i % 5 if i % 2 else 7, " ".join(line)) for i, line in enumerate(lines)]
+    found = [(r.a, r.b) for r in line_dedup._long_apart(spark.createDataFrame(rows, "h long, c long, norm string")).collect()]
+    like = {(i, j) for j, d, y in rows for i, c, x in rows[:j] if c != d and (lambda n, m: n <= m // 4)(*units_apart(x, y))}
+    assert len(like) >= 20 and like <= set(found) and len(found) == len(set(found))
+    assert all(rows[a][1] != rows[b][1] for a, b in found)
+
+
+def test_lines_with_a_common_half_are_not_paired(spark, monkeypatch):
+    """Half of each line is one passage, so all share their sketches; the pairs must not grow with the square of the lines."""
+    rng = random.Random(13)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    passage = " ".join(word(12) for _ in range(12))
+    docs = spark.createDataFrame([(i, " ".join(word(5) for _ in range(20)) + " " + passage) for i in range(300)], "doc_id long, text string")
+    made, cut = [], line_dedup.cut
+
+    def counted(df, name):
+        df = cut(df, name)
+        made.extend([df.count()] if name == "pairs" else [])
+        return df
+
+    monkeypatch.setattr(line_dedup, "cut", counted)
+    _, groups = line_dedup.line_groups(docs, whole=True)
+    assert made and sum(made) <= 300 and groups.count() == 0
+
+
+def test_units_tell_words_apart(spark):
+    lines = [" ".join(f"{c}{i:03d}" for i in range(k, k + 20)) for c in "xyz" for k in range(0, 900, 20)]
+    got = [r.u for r in spark.createDataFrame([(t,) for t in lines], "norm string").select(line_dedup._units("norm").alias("u")).collect()]
+    assert [len(u) for u in got] == [20] * len(lines)
+    assert len(set("".join(got))) >= 0.9 * 20 * len(lines)
