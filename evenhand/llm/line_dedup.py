@@ -22,7 +22,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop
@@ -142,9 +142,9 @@ def _sketches_meet(x: str, y: str) -> Column:
 
 def _shared(keys: DataFrame) -> DataFrame:
     """(block, h, low) of the buckets with different lines; ``low`` is the first of them."""
-    buckets = keys.groupBy(F.col("block").alias("_b")).agg(F.min("h").alias("low"), F.max("h").alias("high")
-    ).where("low <> high")
-    return cut(keys.join(buckets, F.col("block") == F.col("_b")).select("block", "h", "low"), "members")
+    bucket = Window.partitionBy("block")  # the keys are dealt out once, where a join would do so twice
+    buckets = keys.select("block", "h", F.min("h").over(bucket).alias("low"), F.max("h").over(bucket).alias("high"))
+    return cut(buckets.where("low <> high").select("block", "h", "low"), "members")
 
 
 def _common_start(a: Column, b: Column) -> Column:
@@ -185,15 +185,26 @@ def _confirmed(pairs: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _texts(docs: DataFrame, occurrences: DataFrame, asked: DataFrame) -> DataFrame:
-    """(h, g, norm) of the asked lines, each from its first occurrence; of different lines with one ``h``, the one with the least ``g``."""
+    """(h, g, norm) of the asked lines, each from its first occurrence; of different lines with one ``h``, the one with the least ``g``.
+
+    The documents are dealt out in parts, one after the other, to bound the disk they take.
+    """
     one = occurrences.join(asked, F.col("h") == F.col("_h"), "left_semi").groupBy("h").agg(F.min(F.struct("g", "doc_id", "t", "pos")).alias("o"))
-    wanted = one.groupBy(F.col("o.doc_id").alias("_doc"), F.col("o.t").alias("_t")).agg(F.collect_list(F.struct("h", "o.g", "o.pos")).alias("wanted"))
-    own = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")))
+    wanted = cut(one.groupBy(F.col("o.doc_id").alias("_doc"), F.col("o.t").alias("_t")).agg(F.collect_list(F.struct("h", "o.g", "o.pos")).alias("wanted")), "wanted")
+    held = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    some = [cut(_lines_of_documents(held.where(F.pmod("t", F.lit(PARTS)) == i), wanted.where(F.pmod("_t", F.lit(PARTS)) == i)), "texts") for i in range(PARTS)]
+    drop(wanted)
+    return reduce(DataFrame.union, some)
+
+
+def _lines_of_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(h, g, norm, units) of the wanted lines of the documents (doc_id, t, text)."""
+    own = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("t") == F.col("_t")))
     # rows of one id and text give the same lines
     found = own.select(F.explode(_let(F.split("text", "\n", -1), lambda lines: F.transform("wanted", lambda w: F.struct(w["h"].alias("h"), w["g"].alias("g"), F.get(lines, w["pos"]).alias("line"))))).alias("w"))
     norm = F.trim(F.regexp_replace(F.lower("w.line"), _OTHER_BLANK, " "))
     found = found.select("w.h", "w.g", norm.alias("norm")).dropDuplicates(["h"])
-    return cut(found.withColumn("units", _units("norm")), "texts")
+    return found.withColumn("units", _units("norm"))
 
 
 def _units(norm: str) -> Column:
@@ -300,8 +311,9 @@ def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFr
     if whole:
         every = cut(sketched(lines_of(docs, whole)), "sketches")
         sketch = [f"s{k}" for k in range(SKETCH)]
-        occurrences = every.select("doc_id", "t", "pos", "h", "g")
+        occurrences = cut(every.select("doc_id", "t", "pos", "h", "g"), "occurrences")
         lines = cut(every.groupBy("h", "g", "words").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(c) for c in sketch]), "lines")
+        drop(every)
         parts, held, close = families(lines), "sketch", _sketches_meet
         hashes = lines.select("h", F.array_compact(F.array(*sketch)).alias("sketch"))
     else:
@@ -311,7 +323,14 @@ def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFr
         hashes = cut(with_simhash(lines), "simhashes")
         parts, held, close = [hashes.select("h", F.posexplode("blocks").alias("k", "b")).select("h", F.xxhash64("k", "b").alias("block"))], "blocks", lambda x, y: _bits_apart(x, y) <= MOST_BITS
     members = reduce(DataFrame.union, [_shared(p) for p in parts])
-    texts = _texts(docs, occurrences, members.select(F.col("h").alias("_h")).distinct())
+    # most lines share no bucket: what is compared is small beside what is counted
+    asked = cut(members.select(F.col("h").alias("_h")).distinct(), "asked")
+    near = cut(hashes.join(asked, F.col("h") == F.col("_h"), "left_semi"), "near")
+    counts = cut(lines.select("h", "g", "n"), "counts")
+    drop(hashes, lines)
+    hashes, lines = near, counts
+    texts = _texts(docs, occurrences, asked)
+    drop(asked)
     of = lambda to: hashes.select(F.col("h").alias(to), F.col(held).alias(f"{to}_x"))
     tried, links, comps = [], [], None
     shared = members
@@ -334,7 +353,7 @@ def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFr
     named = comps.join(texts.select(F.col("h").alias("_h"), F.col("g").alias("_g")), F.col("node") == F.col("_h")).select("_h", "_g", "component")
     groups = lines.select("h", "g", "n").join(named, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left")
     groups = cut(groups.where("n > 1 or component is not null").select("h", "g", F.coalesce("component", "h").alias("comp")), "groups")
-    drop(lines, members, shared, texts, comps, *tried, *links)
+    drop(hashes, lines, members, shared, texts, comps, *tried, *links)
     return occurrences, groups
 
 

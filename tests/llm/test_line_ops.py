@@ -226,3 +226,24 @@ def test_units_tell_words_apart(spark):
     got = [r.u for r in spark.createDataFrame([(t,) for t in lines], "norm string").select(line_dedup._units("norm").alias("u")).collect()]
     assert [len(u) for u in got] == [20] * len(lines)
     assert len(set("".join(got))) >= 0.9 * 20 * len(lines)
+
+
+def test_scratch_tables_hold_what_is_still_needed(docs_of, monkeypatch):
+    """Keys are dealt out once; sketches go with their lines once those that share a bucket are known, texts come in parts."""
+    rng = random.Random(14)
+    line = lambda: [rng.choice("abcdefgh") * 3 + str(rng.randrange(99)) for _ in range(12)]
+    lines = [" ".join(x) for one in (line() for _ in range(20)) for x in (one, [*one[:-1], "changed"])] + [" ".join(line()) for _ in range(200)]
+    dealt, names, cut = [], [], line_dedup.cut
+
+    def seen(df, name):
+        if name == "members":
+            dealt.append(df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(block"))
+        names.append(name)
+        return cut(df, name)
+
+    monkeypatch.setattr(line_dedup, "cut", seen)
+    occurrences, groups = line_dedup.line_groups(docs_of(enumerate(lines)), whole=True)
+    assert dealt and set(dealt) == {1}
+    files = lambda df: df.sparkSession.read.parquet(*df.inputFiles()).columns
+    assert files(occurrences) == ["doc_id", "t", "pos", "h", "g"] and groups.count() == 40
+    assert names.count("texts") == line_dedup.PARTS
