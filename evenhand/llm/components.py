@@ -36,3 +36,18 @@ def connected_components(links: DataFrame, u: str = "u", v: str = "v") -> DataFr
         seen = now
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(edges.select("v", "v")).distinct()
+
+
+def grown(comps: DataFrame | None, links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
+    """Components (node, component), or None, with further links -> the components of all.
+
+    Links between nodes that are known lead from component to component, so the links that made these are not walked again.
+    """
+    if comps is None:
+        return connected_components(links, u, v)
+    of = lambda to: comps.select(F.col("node").alias(f"_{to}"), F.col("component").alias(f"_{to}_comp"))
+    between = links.select(F.col(u).alias("u"), F.col(v).alias("v")).join(of("u"), F.col("u") == F.col("_u"), "left").join(of("v"), F.col("v") == F.col("_v"), "left")
+    merged = connected_components(between.select(F.coalesce("_u_comp", "u").alias("u"), F.coalesce("_v_comp", "v").alias("v")))
+    known = comps.join(merged.select(F.col("node").alias("_n"), F.col("component").alias("_m")), F.col("component") == F.col("_n"), "left")
+    new = merged.join(comps.select(F.col("node").alias("_n")), F.col("node") == F.col("_n"), "left_anti")
+    return known.select("node", F.coalesce("_m", "component").alias("component")).union(new)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, drop
-from .components import connected_components
+from .components import grown
 
 #: Without ``whole``, lines of fewer words are left alone, however often they occur.
 LEAST_WORDS = 3
@@ -56,6 +56,8 @@ ROUNDS = 3
 PIECE = 500
 #: Words ahead of a rare word that are kept with it, so that most pairs are met once.
 AHEAD = 32
+#: Numbers of 64 bits with the parities of a line's units; a byte of a word's hash names the bit of a unit, so at most four.
+PARITIES = 4
 
 #: Layout of the bit counts: eight counters of 8 bits in a number, for runs of up to 127 words (more could
 #: overflow the sign), or two of 32 bits.
@@ -233,30 +235,45 @@ def _weight(w: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(F.length(w) / UNIT).cast("int"))
 
 
+def _parities() -> list[Column]:
+    """Parities p0, p1, ... of the bits that a line's words (x, k units) name: one for each unit, up to four for a word.
+
+    An edit changes one unit or swaps one for another. So two lines have no more different bits than twice the edits
+    between them, less one for each unit that one is longer.
+    """
+    at = [F.shiftrightunsigned("x", 8 * j).bitwiseAND(F.lit(64 * PARITIES - 1)).cast("int") for j in range(4)]
+    bit = lambda j, q: F.when((F.col("k") > j) & (F.call_function("shiftright", at[j], F.lit(6)) == q), F.call_function("shiftleft", F.lit(1).cast("long"), at[j].bitwiseAND(F.lit(63)))).otherwise(F.lit(0).cast("long"))
+    return [F.bit_xor(reduce(lambda a, b: a.bitwiseXOR(b), [bit(j, q) for j in range(4)])).alias(f"p{q}") for q in range(PARITIES)]
+
+
 def _rare_words(words: DataFrame) -> DataFrame:
-    """Words (h, c, x, k units) of lines -> (x, h, c, u, b, before): each line's rarest words, which a like line can't all lack.
+    """Words (h, c, x, k units) of lines -> (x, h, c, u, b, before, p0, ...): each line's rarest words, which a like line can't all lack.
 
     Lines within UNIT_EDITS of ``u`` units have all but so many of the longer one's units in common. So in one order of all
     words the first they have in common has at most so many units ``b`` before it in either. Rare words come first, which
     decides the cost and not the result. ``before`` are the AHEAD words of the line, at most, that come right before this one.
     """
     counts = words.groupBy(F.col("x").alias("_x")).agg(F.count(F.lit(1)).alias("n"))
-    at = words.join(counts, F.col("x") == F.col("_x")).groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("n", "x", "k"))).alias("_w"))
-    at = at.select("h", "c", F.explode(F.array(F.flatten(F.transform("_w", lambda w: F.array_repeat(w["x"], w["k"]))))).alias("_u"))
-    at = at.select("h", "c", "_u", F.explode(F.array(F.array_distinct(F.slice("_u", F.lit(1), F.floor(F.size("_u") * UNIT_EDITS).cast("int") + 1)))).alias("_p"))
+    at = words.join(counts, F.col("x") == F.col("_x")).groupBy("h", "c").agg(F.sort_array(F.collect_list(F.struct("n", "x", "k"))).alias("_w"), *_parities())
+    bits = [f"p{q}" for q in range(PARITIES)]
+    at = at.select("h", "c", *bits, F.explode(F.array(F.flatten(F.transform("_w", lambda w: F.array_repeat(w["x"], w["k"]))))).alias("_u"))
+    at = at.select("h", "c", *bits, "_u", F.explode(F.array(F.array_distinct(F.slice("_u", F.lit(1), F.floor(F.size("_u") * UNIT_EDITS).cast("int") + 1)))).alias("_p"))
     with_place = F.transform("_p", lambda x: F.struct(x.alias("x"), (F.call_function("array_position", "_u", x) - 1).cast("int").alias("b")))
-    at = at.select("h", "c", F.size("_u").alias("u"), "_p", F.posexplode(with_place).alias("_k", "_x"))
-    return at.select("_x.x", "h", "c", "u", "_x.b", F.slice("_p", F.greatest(F.lit(1), F.col("_k") - AHEAD + 1), F.least(F.col("_k"), F.lit(AHEAD))).alias("before"))
+    at = at.select("h", "c", *bits, F.size("_u").alias("u"), "_p", F.posexplode(with_place).alias("_k", "_x"))
+    return at.select("_x.x", "h", "c", *bits, "u", "_x.b", F.slice("_p", F.greatest(F.lit(1), F.col("_k") - AHEAD + 1), F.least(F.col("_k"), F.lit(AHEAD))).alias("before"))
 
 
 def _long_apart(lines: DataFrame) -> DataFrame:
-    """(a, b) of the lines (h, c, norm) with units, different ``c``, and enough units in common by a bound: each pair once.
+    """(a, b) of the lines (h, c, norm) with units, different ``c``, and enough units in common by two bounds: each pair once.
+
+    One counts the units before the word that two lines meet over, the other the parities in which they differ. Both are
+    exact, so they rule out no like pair.
 
     A word's lines are dealt into pieces that meet two by two under keys of their own. A component of more lines than a piece has one for
     itself, which does not meet itself: no time goes into pairs of one component, however large.
     """
     words = lines.select("h", "c", F.explode(F.split("norm", " ")).alias("w")).select("h", "c", F.xxhash64("w").alias("x"), _weight(F.col("w")).alias("k"))
-    words = cut(words, "apart-words")
+    words, bits = cut(words, "apart-words"), [f"p{q}" for q in range(PARITIES)]
     rare = cut(_rare_words(words), "rare")
     drop(words)
     of_word = rare.groupBy("x", "c").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("x").alias("_x")).agg(F.count(F.lit(1)).alias("cs"), F.ceil(F.sum("n") / PIECE).cast("int").alias("n"), F.collect_list(F.when(F.col("n") > PIECE, F.col("c"))).alias("large")).where("cs > 1")
@@ -264,12 +281,14 @@ def _long_apart(lines: DataFrame) -> DataFrame:
     rows = rare.join(of_word, F.col("x") == F.col("_x")).withColumn("alone", F.array_contains("large", F.col("c")))
     rows = rows.withColumn("own", F.when(F.col("alone"), own_piece(F.col("c"))).otherwise(F.pmod(F.xxhash64("h"), F.col("n"))))
     every = F.concat(F.sequence(F.lit(0).cast("long"), F.col("n").cast("long") - 1), F.transform("large", own_piece))
-    rows = rows.select("x", "h", "c", "u", "b", "before", "own", "alone", F.explode(every).alias("_o")).where("not (alone and own = _o)")
-    rows = cut(rows.select("x", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "h", "c", "u", "b", "before"), "rare-pieces")
-    of = lambda to, piece: rows.where(F.col("own") == F.col(piece)).select("x", "i", "j", F.col("h").alias(to), *[F.col(k).alias(f"{to}_{k}") for k in ("c", "u", "b", "before")])
+    rows = rows.select("x", "h", "c", *bits, "u", "b", "before", "own", "alone", F.explode(every).alias("_o")).where("not (alone and own = _o)")
+    rows = cut(rows.select("x", F.least("own", "_o").alias("i"), F.greatest("own", "_o").alias("j"), "own", "h", "c", *bits, "u", "b", "before"), "rare-pieces")
+    of = lambda to, piece: rows.where(F.col("own") == F.col(piece)).select("x", "i", "j", F.col("h").alias(to), *[F.col(k).alias(f"{to}_{k}") for k in ("c", *bits, "u", "b", "before")])
     pairs = of("a", "i").join(of("b", "j"), ["x", "i", "j"]).where("(i <> j or a < b) and a_c <> b_c")
     longer = F.greatest("a_u", "b_u")
     enough = F.least(F.col("a_u") - F.col("a_b"), F.col("b_u") - F.col("b_b")) >= longer - F.floor(longer * UNIT_EDITS)
+    odd = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"a_{p}").bitwiseXOR(F.col(f"b_{p}"))) for p in bits])
+    enough = enough & (odd <= 2 * F.floor(longer * UNIT_EDITS) - F.abs(F.col("a_u") - F.col("b_u")))
     found = cut(pairs.where(enough).where(~F.arrays_overlap("a_before", "b_before")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     drop(rare, rows)
     return found
@@ -306,6 +325,14 @@ def _still_apart(members: DataFrame, comps: DataFrame, hashes: DataFrame, texts:
     return pairs
 
 
+def _joined(comps: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components that further links leave; the table of those before goes."""
+    after = cut(grown(comps, links, "a", "b"), "components")
+    if comps is not None:
+        drop(comps)
+    return after
+
+
 def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     """Occurrences (doc_id, t, pos, h, g), and (h, g, comp) of the distinct lines that occur again or have others like them."""
     if whole:
@@ -343,12 +370,12 @@ def line_groups(docs: DataFrame, whole: bool = False) -> tuple[DataFrame, DataFr
         stars = cut(stars.join(of("a"), "a").join(of("b"), "b").where(close("a_x", "b_x")).select("a", "b"), "stars")
         tried.append(stars)
         links.append(cut(_confirmed(stars, texts), "links"))
-        comps = cut(connected_components(reduce(DataFrame.union, links), "a", "b"), "components")
+        comps = _joined(comps, links[-1])
     pairs = _still_apart(shared, comps, hashes.select("h", F.col(held).alias("x")), texts, close)
     rest = reduce(DataFrame.union, pairs).join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
     tried += pairs
     links.append(cut(_confirmed(rest, texts), "links"))
-    comps = cut(connected_components(reduce(DataFrame.union, links), "a", "b"), "components")
+    comps = _joined(comps, links[-1])
     # only the line whose text was compared has the component
     named = comps.join(texts.select(F.col("h").alias("_h"), F.col("g").alias("_g")), F.col("node") == F.col("_h")).select("_h", "_g", "component")
     groups = lines.select("h", "g", "n").join(named, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left")

@@ -4,7 +4,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from evenhand.llm import line_dedup, suffix, suffix_dedup
+from evenhand.llm import components, line_dedup, suffix, suffix_dedup
 
 
 def test_suffix_array_and_prefixes_against_sorting():
@@ -247,3 +247,30 @@ def test_scratch_tables_hold_what_is_still_needed(docs_of, monkeypatch):
     files = lambda df: df.sparkSession.read.parquet(*df.inputFiles()).columns
     assert files(occurrences) == ["doc_id", "t", "pos", "h", "g"] and groups.count() == 40
     assert names.count("texts") == line_dedup.PARTS
+
+
+def test_lines_with_only_a_rare_word_in_common_are_not_paired(spark):
+    rng = random.Random(15)
+    pool = [f"w{i:03d}" for i in range(60)]
+    rows = [(i, i, " ".join([f"r{i // 2:03d}", *rng.sample(pool, 19)])) for i in range(40)]
+    rows += [(100 + i, 100 + i, line.replace(line.split()[7], "x" * 4)) for i, _, line in rows[:10]]
+    got = {(r.a, r.b) for r in line_dedup._long_apart(spark.createDataFrame(rows, "h long, c long, norm string")).collect()}
+    assert got == {(i, 100 + i) for i in range(10)}
+
+
+def test_components_with_further_links_are_those_of_all(spark, monkeypatch):
+    rng = random.Random(16)
+    walked, walk = [], components.connected_components
+
+    def seen(links, *names):
+        walked.append(links.where("u <> v").count() if not names else None)
+        return walk(links, *names)
+
+    links = [[(rng.randrange(80), rng.randrange(80)) for _ in range(n)] for n in (30, 12, 25)] + [[]]
+    table = lambda pairs: spark.createDataFrame(pairs, "u long, v long")
+    comps, so_far = components.grown(None, table(links[0])), links[0]
+    monkeypatch.setattr(components, "connected_components", seen)
+    for more in links[1:]:
+        comps, so_far = components.grown(comps, table(more)), so_far + more
+        assert sorted(map(tuple, comps.collect())) == sorted(map(tuple, walk(table(so_far)).collect()))
+    assert walked[0] <= 12 and walked[1] <= 25 and walked[2] == 0
